@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lintarium.llm import exact_dedup, mixing, sharding
+from lintarium.llm import bpe, exact_dedup, mixing, sharding, token_counts
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
