@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lintarium.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from lintarium.llm import bpe, exact_dedup, mixing, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_simhash": simhash.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_bpe": bpe.op10_bpe,
