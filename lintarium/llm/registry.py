@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lintarium.llm import bpe, exact_dedup, mixing, sharding, simhash, token_counts
+from lintarium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
