@@ -70,6 +70,20 @@ class Counter:
         return [sum(long[w] if w in long else known[w] for w in ws) for ws in split]
 
 
+def _portions(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of the batches in lists of about ``most`` characters, as their words are objects of their own meanwhile."""
+    for b in batches:
+        held, size = [], 0
+        for i in range(b.num_rows):
+            held.append(b.column(0)[i].as_py())
+            size += len(held[-1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+
 _counters: dict[str, Counter] = {}
 
 
@@ -117,8 +131,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary.value)
-        for b in batches:
-            part = b.column(0).to_pylist()
+        for part in _portions(batches):
             digests = [hashlib.sha256(" ".join(WORDS.findall(t)).encode()).hexdigest() for t in part]
             yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(counter.counts(part), pa.int64())], names=["digest", "n_tokens"])
 
