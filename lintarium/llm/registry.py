@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintarium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
+from lintarium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
+    "op8_warc": warc.op8_warc,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_bpe": bpe.op10_bpe,
 }
