@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lintarium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, warc
+from lintarium.llm import bpe, brown, exact_dedup, mixing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
+    "op1_brown": brown.op1_brown,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
