@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lintarium.llm import bpe, brown, exact_dedup, mixing, quality, sharding, simhash, token_counts, warc
+from lintarium.llm import bpe, brown, exact_dedup, mixing, quality, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_brown": brown.op1_brown,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
