@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return s.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_at._level") * F.col("_w"), F.col("_cap"))).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """How often the mix takes each document: (id, size, source, source_size, target, copies, taken).
 
     Size is the number of words, zero for null text. Each document is taken floor(target / source_size) times, and
@@ -48,10 +48,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     fall by hash into strata of about ``STRATUM``, a stratum is ordered by size and sampled at even steps from a
     hashed start. So each document keeps its probability, the words taken come near the target even where a few
     documents hold most words, and no task gets more than a stratum of a hot source. Reruns agree; repeated rows of
-    one id are drawn apart. Null is a source of its own. An empty table gives an empty result.
+    one id are drawn apart. Null is a source of its own. An empty table gives an empty result. ``carry`` adds the whole
+    row in a struct ``_row``; then sizes are not written but counted twice, so that the text moves once.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_of(docs, text_col)).alias("size"))
-    rows = written(rows, "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_of(docs, text_col)).alias("size"), *([F.struct("*").alias("_row")] if carry else []))
+    rows = rows if carry else written(rows, "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sums = written(sums, "mix-sources")  # one row a source
     t = targets(sums.select("source", "source_size"), weights, share, most)
@@ -65,20 +66,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rank, start, fraction = F.row_number().over(w), _unit(F.lit(seed), F.col("source"), F.col("_stratum")), F.col("_rate") - F.floor("_rate")
     drawn = F.floor(start + rank * fraction) - F.floor(start + (rank - 1) * fraction)
     out = rows.withColumn("copies", (F.floor("_rate") + drawn).cast("long"))
-    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["_row"] if carry else []))
 
 
-def emit(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mixed documents with all their columns, each row as often as it is taken.
-
-    Rows that share an id are ranked among themselves on both sides, so each gets its own draw.
-    """
-    drawn = mix(docs, id_col=id_col, **how).select(F.col(id_col).alias("_id"), "copies").where("copies > 0")
-    drawn = drawn.groupBy("_id").agg(F.sort_array(F.collect_list("copies")).alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    pairs = rows.join(drawn, rows[f"_row.{id_col}"].eqNullSafe(drawn["_id"]))
-    alone = pairs.withColumn("_n", F.col("_copies")[0])
-    return alone.select(F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"), "_row").select("_row.*")
+def emit(docs: DataFrame, **how) -> DataFrame:
+    """The mixed documents with all their columns, each row as often as it is taken."""
+    drawn = mix(docs, carry=True, **how).where("copies > 0")
+    return drawn.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_k"), "_row").select("_row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
