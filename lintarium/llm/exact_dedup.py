@@ -22,8 +22,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Range partitioning samples splitters over (leading bytes, digest, salt); each range is sorted on the whole
     normalised text by Spark's external sort, and the window compares every row with its neighbour in full. A
     first pass counts digests; a group with more than ``hot_share`` of an average partition is salted over
-    ``salts`` ranges. Its parts meet again by digest as one row a part. The hot list has at most
-    partitions / hot_share digests, so it may be broadcast.
+    ``salts`` ranges; what stays of it and how many rows it has come from an aggregate of the hot rows alone. The hot
+    list has at most partitions / hot_share digests, so it may be broadcast.
     """
     spark = docs.sparkSession
     norm = F.regexp_replace(text_of(docs, text_col), F.lit(SPACE + "+"), F.lit(""))
@@ -46,21 +46,17 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = ranged.select(
         "_id",
-        "_points",
-        F.col("_hot").isNotNull().alias("_is_hot"),
         F.sha2("_norm", 256).alias("text_sha256"),
         F.row_number().over(order).alias("_rank"),
         F.first("_id").over(whole).alias("_keep"),
-        F.first("_points").over(whole).alias("_best"),
         F.count("*").over(whole).alias("_size"),
         F.col("_salt"),
         *(["_row"] if carry else []),
     )
-    # The parts of hot groups: one row for each salt, at most partitions / hot_share * salts rows.
-    parts = marked.where("_is_hot and _rank = 1").groupBy(F.col("text_sha256").alias("_sha"))
-    merged = parts.agg(
-        F.min(F.struct((-F.col("_best")).alias("p"), F.col("_keep").isNull().alias("z"), F.col("_keep").alias("id"), F.col("_salt").alias("s"))).alias("_top"),
-        F.sum("_size").alias("_all"),
+    # Hot groups are summed up before they move: at most partitions / hot_share rows, a few more where digests collide.
+    merged = rows.where("_hot is not null").groupBy(F.sha2("_norm", 256).alias("_sha")).agg(
+        F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_salt").alias("s"))).alias("_top"),
+        F.count("*").alias("_all"),
     )
     out = marked.join(F.broadcast(merged), marked["text_sha256"] == F.col("_sha"), "left")
     return out.select(
