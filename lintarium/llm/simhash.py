@@ -168,11 +168,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with all its columns.
 
-    Rows that share an id stay or go together; rows without an id stay only where their whole group has none.
+    Rows that share an id stay or go together; rows without an id stay only where a whole group has none. The ids that
+    go are written first: where they are few, the planner sees their size and the texts are not moved.
     """
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stays")), "left_semi")
+    least = F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col(id_col).alias("_goes")).agg(F.max(least).alias("_stays")).where("not _stays").select("_goes")
+    gone = written(gone, "simhash-gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_goes")), "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
