@@ -59,8 +59,18 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows and bytes of a batch that goes to a Python worker: a few thousand texts are held as objects at once, not more.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once a session, so that Python workers can import it wherever they run."""
+    """Gives the executors this package, once a session, so that Python workers can import it wherever they run.
+
+    Batches of the session are made small enough for long texts, unless they are smaller already.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_lintarium_shipped", False):
         return
