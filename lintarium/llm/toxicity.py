@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lintarium.llm.common import WORDS, forget, held_out, ship, text_of, written
 
 #: The classifier is fitted on so many labelled rows of each kind at most, taken in order of a hash, and on so many bytes.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1500, 3000, 6_000_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 2000, 3_000_000
 #: A word is labelled toxic when its evidence (log-likelihood ratio) reaches this, or this in texts without such words, and it is so much likelier in toxic texts.
 EVIDENCE, AMONG_REST, RATIO = 24.0, 16.0, 20.0
 #: A word is part of a span from this marginal on.
@@ -26,7 +26,7 @@ STEPS, RATE, PENALTY = 40, 0.3, 0.05
 #: Lengths of the beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6)
 #: Distinct words whose emissions a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 Z = 20.0
 
@@ -341,7 +341,7 @@ def spans(text: str, marginals: np.ndarray, least: float = SPAN) -> list[dict]:
     return out
 
 
-def _portions(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _portions(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         size += n or 0
