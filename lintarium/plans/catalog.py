@@ -1,4 +1,8 @@
-"""Named queries over the driver's tables, with the SQL that must give the same rows."""
+"""Named queries over the driver's tables, with the SQL that must give the same rows.
+
+The tables hold no source code, so columns play the parts of facts and findings: an event is a finding with its type as
+severity, a line item is a finding of a part (rule) in a supplier (file), documents are sources.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintarium.functions.severity import grade, lookup
+from lintarium.functions.text import lines, plain_lines
+from lintarium.operators import findings as ops
+from lintarium.operators import graph, sequences, similarity
+from lintarium.plans import analytics
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Registers a query under a name, with its SQL where there is one."""
+def query(oracle: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
 
     def keep(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[name] = oracle
+            ORACLES[f.__name__] = oracle
         return f
 
     return keep
@@ -27,15 +37,370 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Weights of event types, in the part of severities.
 WEIGHTS = {"error": 30, "purchase": 12, "signup": 4, "click": 1, "view": 0}
-_WEIGHT_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 0 END"
+TYPES = ("click", "error", "purchase", "signup", "view")
+_W = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 0 END"
+#: The two days that are compared as scans.
+DAY_1, DAY_2 = "2024-01-14", "2024-01-15"
+SPACE = r"[^\x20\x09-\x0D]+"
+
+
+def _weight():
+    return lookup(F.col("event_type"), WEIGHTS, 0)
+
+
+def _day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+# --- analytics ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def severity_counts(spark, sf):
+    return analytics.counts(table(spark, sf, "events"), "event_type")
+
+
+@query(
+    f"""WITH s AS (SELECT event_type AS dimension, CAST(sum({_W}) AS FLOAT) AS w FROM events GROUP BY 1),
+    d AS (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS dimension UNION SELECT dimension FROM s),
+    k AS (SELECT CAST(count(*) / 10.0 AS FLOAT) AS kloc FROM events),
+    p AS (SELECT d.dimension, CAST(100 AS FLOAT) - least(greatest(CAST(coalesce(w, 0) / greatest(kloc, 1) AS FLOAT), 0), 100) AS s FROM d CROSS JOIN k LEFT JOIN s USING (dimension))
+    SELECT dimension, round(CAST(s AS DOUBLE), 3) AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM p"""
+)
+def dimension_scores(spark, sf):
+    events = table(spark, sf, "events")
+    out = analytics.scores(events, _weight(), events.count() / 10.0, "event_type", (*TYPES, "refund"))
+    return out.withColumn("score", F.round(F.col("score").cast("double"), 3))
+
+
+@query(
+    """WITH p AS (SELECT l_partkey, l_returnflag, count(*) AS c FROM lineitem GROUP BY 1, 2),
+    b AS (SELECT l_partkey, CAST(sum(c) AS BIGINT) AS n, min_by(l_returnflag, (-c, l_returnflag)) AS l_returnflag FROM p GROUP BY 1)
+    SELECT * FROM b ORDER BY n DESC, l_partkey LIMIT 10"""
+)
+def top_rules_mode(spark, sf):
+    return analytics.top_rules(table(spark, sf, "lineitem"), "l_partkey", "l_returnflag")
+
+
+@query("SELECT l_suppkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS weight FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10")
+def top_files(spark, sf):
+    return analytics.top_files(table(spark, sf, "lineitem"), "l_suppkey", F.col("l_linenumber"))
+
+
+@query("SELECT unnest(string_split(p_type, ' ')) AS tag, count(*) AS n FROM part GROUP BY 1")
+def taxonomy_counts(spark, sf):
+    return analytics.tag_counts(table(spark, sf, "part").withColumn("tags", F.split("p_type", " ")), "tags")
+
+
+@query(
+    f"""WITH s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum({_W}) AS w FROM events GROUP BY 1, 2)
+    SELECT user_id, CAST(sum(n) AS BIGINT) AS findings, CAST(sum(w) AS BIGINT) AS weight, max(n) AS peak, max(day) AS last_scan
+    FROM s GROUP BY 1 ORDER BY weight DESC, user_id LIMIT 25"""
+)
+def heatmap(spark, sf):
+    return analytics.heatmap(_day(table(spark, sf, "events")), "day", "user_id", _weight())
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in TYPES) + ", count(*) AS total FROM events GROUP BY 1")
+def trends(spark, sf):
+    return analytics.trends(_day(table(spark, sf, "events")), "day", "event_type", TYPES)
+
+
+@query(
+    f"""SELECT event_type, count(*) FILTER (strftime(ts, '%Y-%m-%d') = '{DAY_1}') AS old, count(*) FILTER (strftime(ts, '%Y-%m-%d') = '{DAY_2}') AS new,
+    count(*) FILTER (strftime(ts, '%Y-%m-%d') = '{DAY_2}') - count(*) FILTER (strftime(ts, '%Y-%m-%d') = '{DAY_1}') AS delta
+    FROM events WHERE strftime(ts, '%Y-%m-%d') IN ('{DAY_1}', '{DAY_2}') GROUP BY 1"""
+)
+def summary_delta(spark, sf):
+    return analytics.delta(table(spark, sf, "events"), F.date_format("ts", "yyyy-MM-dd"), "event_type", DAY_1, DAY_2)
+
+
+@query("WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, n - lag(n) OVER (ORDER BY day) AS n_delta FROM d")
+def previous_scan(spark, sf):
+    days = analytics.counts(_day(table(spark, sf, "events")), "day")
+    return sequences.change(days.withColumn("project", F.lit(0)), ["project"], "day", ["n"]).drop("project")
+
+
+@query("SELECT l_returnflag, max(l_linenumber) AS worst, count(*) AS n FROM lineitem GROUP BY 1")
+def severity_max(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.max("l_linenumber").alias("worst"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS tests, count(*) FILTER (value > 50) AS failures, count(*) FILTER (value IS NULL) AS errors FROM events GROUP BY ROLLUP (event_type)")
+def junit_rollup(spark, sf):
+    return table(spark, sf, "events").rollup("event_type").agg(F.count("*").alias("tests"), F.count_if(F.col("value") > 50).alias("failures"), F.count_if(F.col("value").isNull()).alias("errors"))
+
+
+# --- findings ----------------------------------------------------------------------------------------------------
+
+
+def _two_days(spark, sf):
+    events = _day(table(spark, sf, "events"))
+    return events.where(F.col("day") == DAY_1), events.where(F.col("day") == DAY_2)
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE strftime(ts, '%Y-%m-%d') = '{DAY_1}'),
+    b AS (SELECT DISTINCT user_id, event_type FROM events WHERE strftime(ts, '%Y-%m-%d') = '{DAY_2}')
+    SELECT user_id, event_type, 'new' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL
+    SELECT user_id, event_type, 'resolved' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
+    SELECT user_id, event_type, 'persisting' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)"""
+)
+def scan_diff(spark, sf):
+    old, new = _two_days(spark, sf)
+    return ops.diff(old, new, ["user_id", "event_type"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def baseline_filter(spark, sf):
+    known = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return ops.without(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), known, ["l_orderkey"])
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS k, 1 + o_orderkey % 4 AS line, o_orderpriority = '1-URGENT' AS whole FROM orders WHERE o_orderstatus = 'O')
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (
+    SELECT 1 FROM s WHERE k = l_orderkey AND (whole OR line = l_linenumber OR line = l_linenumber - 1))"""
+)
+def suppression(spark, sf):
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.lit("R1").alias("rule_id"), "l_partkey")
+    marks = table(spark, sf, "orders").where("o_orderstatus = 'O'")
+    marks = marks.select(F.col("o_orderkey").alias("path"), (F.col("o_orderkey") % 4 + 1).alias("line"), F.lit("R1").alias("rule_id"), (F.col("o_orderpriority") == "1-URGENT").alias("file_scoped"))
+    return ops.suppress(items, marks).select(F.col("path").alias("l_orderkey"), F.col("line").alias("l_linenumber"), "l_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE len(list_filter(string_split(upper(p_type), ' '), lambda x: x IN ('STEEL', 'TIN'))) > 0 AND upper(p_brand) IN ('BRAND#11', 'BRAND#12', 'BRAND#13')")
+def taxonomy_filter(spark, sf):
+    part = table(spark, sf, "part").withColumns({"owasp": F.split("p_type", " "), "cwe": F.array("p_brand")})
+    return ops.taxonomy(part, ["steel", "tin"], ["Brand#11", "Brand#12", "brand#13"]).select("p_partkey")
 
 
 @query(
-    "heatmap",
-    f"""SELECT user_id, CAST(count(*) AS BIGINT) AS findings, CAST(sum({_WEIGHT_SQL}) AS BIGINT) AS weight
-        FROM events GROUP BY user_id""",
+    """SELECT * FROM (SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' AND p_type LIKE '%STEEL' THEN 'critical' WHEN p_brand = 'Brand#11' AND p_type LIKE 'PROMO%' THEN 'ignore'
+    WHEN p_brand = 'Brand#12' THEN 'low' ELSE 'medium' END AS severity FROM part) WHERE severity <> 'ignore'"""
 )
-def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.count("*").alias("findings"), F.sum(F.expr(_WEIGHT_SQL)).cast("long").alias("weight"))
+def glob_override(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.lit("medium").alias("severity"))
+    out = ops.override(part, [("Brand#11", "*STEEL", "critical"), ("Brand#11", "PROMO*", "ignore")], {"Brand#12": "low"}, path="p_type", rule="p_brand")
+    return out.select("p_partkey", "severity")
+
+
+@query("SELECT event_type, severity, lv >= 3 AS fails FROM (SELECT event_type, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' ELSE 'low' END AS severity, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 1 END AS lv FROM events GROUP BY ALL)")
+def fail_on(spark, sf):
+    from lintarium.functions.severity import rank
+
+    kinds = table(spark, sf, "events").select("event_type").distinct()
+    s = kinds.withColumn("severity", lookup(F.col("event_type"), {"error": "critical", "purchase": "high"}, "low"))
+    return s.withColumn("fails", rank(F.col("severity")) >= 3)
+
+
+@query("SELECT event_type, user_id, CAST(ts AS VARCHAR) AS at FROM events ORDER BY user_id, ts, event_id LIMIT 100")
+def canonical_sort(spark, sf):
+    return table(spark, sf, "events").orderBy("user_id", "ts", "event_id").limit(100).select("event_type", "user_id", F.regexp_replace(F.col("ts").cast("string"), r"(\.\d*?)0+$", "$1").alias("at"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
+def retention(spark, sf):
+    return sequences.newest(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def latest_scan(spark, sf):
+    last = F.max(F.struct("ts", "event_id", "event_type"))
+    return table(spark, sf, "events").groupBy("user_id").agg(last.alias("m")).select("user_id", "m.event_id", "m.event_type")
+
+
+@query("SELECT c_custkey, coalesce(label, '') AS label FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS label FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def label_join(spark, sf):
+    labels = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("label"))
+    return table(spark, sf, "customer").join(labels, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("label", F.lit("")).alias("label"))
+
+
+@query("SELECT event_type FROM events WHERE user_id % 2 = 0 UNION SELECT event_type FROM events WHERE user_id % 2 = 1")
+def union_distinct(spark, sf):
+    events = table(spark, sf, "events")
+    return events.where("user_id % 2 = 0").select("event_type").union(events.where("user_id % 2 = 1").select("event_type")).distinct()
+
+
+# --- rules -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 4")
+def fan_out(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n > 4")
+
+
+@query("SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) > 12")
+def large_group(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first")).where("n > 12")
+
+
+@query("SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'R') * 100 // count(*) AS BIGINT) AS ratio FROM lineitem GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (l_returnflag = 'R') * 100 // count(*) < 33")
+def dir_ratio(spark, sf):
+    sums = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("t"), F.count("*").alias("n"))
+    return sums.withColumn("ratio", F.expr("t * 100 div n")).where("n >= 3 and ratio < 33").select("l_suppkey", "ratio")
+
+
+@query("WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT event_type, max(n) AS top, CAST(sum(n) AS BIGINT) AS total, count(*) AS authors, min_by(user_id, (-n, user_id)) AS author FROM c GROUP BY 1) SELECT event_type, author, top * 100.0 / total > 1 AS single, authors, authors <= 2 AS low_bus FROM s")
+def single_author(spark, sf):
+    c = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    s = c.groupBy("event_type").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.count("*").alias("authors"), F.min_by("user_id", F.struct((-F.col("n")).alias("n"), F.col("user_id").alias("u"))).alias("author"))
+    return s.select("event_type", "author", (F.col("top") * 100.0 / F.col("total") > 1).alias("single"), "authors", (F.col("authors") <= 2).alias("low_bus"))
+
+
+@query("SELECT user_id, CAST(date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') AS INTEGER) AS days FROM events GROUP BY 1 HAVING date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') > 3")
+def stale(spark, sf):
+    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("t"))
+    return last.select("user_id", F.datediff(F.lit("2024-02-01").cast("date"), F.col("t").cast("date")).alias("days")).where("days > 3")
+
+
+_LINES = "SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL"
+
+
+@query(
+    f"""WITH l AS ({_LINES}), w AS (SELECT doc_id, line_no, text || chr(10) || lead(text, 1) OVER o || chr(10) || lead(text, 2) OVER o AS w, lead(text, 2) OVER o AS z FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+    r AS (SELECT doc_id, line_no, first_value(doc_id) OVER g AS first_doc_id, first_value(line_no) OVER g AS first_line_no, row_number() OVER g AS rn FROM w WHERE z IS NOT NULL WINDOW g AS (PARTITION BY w ORDER BY doc_id, line_no))
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first_doc_id, CAST(first_line_no AS INTEGER) AS first_line_no FROM r WHERE rn > 1"""
+)
+def dup_windows(spark, sf):
+    rows = plain_lines(table(spark, sf, "documents"), "text", "doc_id")
+    return sequences.copies_of_first(sequences.line_windows(rows, 3, "doc_id"), "doc_id")
+
+
+@query(
+    f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM l WHERE length(text) < 120)
+    SELECT doc_id, CAST(min(line_no) AS INTEGER) AS first, CAST(max(line_no) AS INTEGER) AS last, count(*) AS length FROM s GROUP BY doc_id, g HAVING count(*) >= 3"""
+)
+def comment_islands(spark, sf):
+    rows = plain_lines(table(spark, sf, "documents"), "text", "doc_id").where(F.length("text") < 120)
+    return sequences.runs(rows, ["doc_id"], "line_no", 3)
+
+
+@query(
+    f"""WITH l AS ({_LINES}), o AS (SELECT *, CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM l)
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, byte_start FROM o WHERE regexp_matches(text, '(License|@|[0-9]{{4}})')"""
+)
+def line_rule(spark, sf):
+    return lines(table(spark, sf, "documents"), "text", "doc_id").where(F.col("text").rlike("(License|@|[0-9]{4})")).select("doc_id", "line_no", "byte_start")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND regexp_matches(text, '[A-Z]{3}')")
+def literal_semi_rule(spark, sf):
+    wanted = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, sf, "documents").where(F.col("text").rlike("[A-Z]{3}")).join(wanted, "doc_id", "left_semi").select("doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 4000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def literal_anti_rule(spark, sf):
+    return table(spark, sf, "documents").where("n_chars > 4000").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0 AND d.n_chars > 1000")
+def doc_join_rule(spark, sf):
+    return table(spark, sf, "documents").where("n_chars > 1000").join(table(spark, sf, "labels").where("quality = 0"), "doc_id").select("doc_id", "quality")
+
+
+TOKENS = ("the", "and", "que", "der", "ing")
+
+
+@query("SELECT conv_id, turn, t AS token FROM conversations, (SELECT unnest(['" + "', '".join(TOKENS) + "']) AS t) WHERE contains(text, t)")
+def token_bodies(spark, sf):
+    c = table(spark, sf, "conversations")
+    found = F.filter(F.array(*[F.when(F.contains(F.col("text"), F.lit(t)), F.lit(t)) for t in TOKENS]), lambda x: x.isNotNull())
+    return c.select("conv_id", "turn", F.explode(found).alias("token"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-z]+')) AS INTEGER) AS n FROM pages WHERE len(regexp_extract_all(html, '<[a-z]+')) > 20")
+def regex_count_rule(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit("<[a-z]+")).alias("n")).where("n > 20")
+
+
+@query("SELECT conv_id, bool_or(role = 'user') AS any_user, bool_and(length(text) > 20) AS all_long FROM conversations GROUP BY 1")
+def any_all_rule(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "user").alias("any_user"), F.bool_and(F.length("text") > 20).alias("all_long"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt FROM conversations) WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'")
+def dead_store_next(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("_at", F.struct("turn", "role", "text"))
+    return sequences.not_followed_by(c, ["conv_id"], "_at", F.col("role") == "user", F.col("role") == "assistant").select("conv_id", "turn")
+
+
+@query(
+    """WITH a(package, prefix, advisory) AS (VALUES ('BRAND#11', 'ECONOMY', 'A-1'), ('brand#11', 'ECONOMY ANODIZED', 'A-2'), ('Brand#22', 'PROMO', 'A-3'))
+    SELECT p_partkey, advisory FROM part JOIN a ON lower(p_brand) = lower(package) AND starts_with(p_type, prefix)"""
+)
+def advisory_theta(spark, sf):
+    known = spark.createDataFrame([("BRAND#11", "ECONOMY", "A-1"), ("brand#11", "ECONOMY ANODIZED", "A-2"), ("Brand#22", "PROMO", "A-3")], "package string, prefix string, advisory string")
+    return similarity.advised(table(spark, sf, "part"), known, "p_brand", "p_type").select("p_partkey", "advisory")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey % 50 AS name, o_orderstatus AS a, o_orderkey % 2 AS snap FROM orders),
+    h AS (SELECT name, max(a) AS kind FROM o WHERE snap = 0 GROUP BY 1), n AS (SELECT name, max(a) AS kind FROM o WHERE snap = 1 AND name % 7 <> 0 GROUP BY 1)
+    SELECT h.name, CASE WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS status FROM h LEFT JOIN n USING (name) WHERE n.name IS NULL OR h.kind <> n.kind"""
+)
+def api_diff(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("name"), F.col("o_orderstatus").alias("a"), (F.col("o_orderkey") % 2).alias("snap"))
+    head = o.where("snap = 0").groupBy("name").agg(F.max("a").alias("kind"))
+    now = o.where("snap = 1 and name % 7 <> 0").groupBy("name").agg(F.max("a").alias("now"))
+    j = head.join(now, "name", "left").where("now is null or kind <> now")
+    return j.select("name", F.when(F.col("now").isNull(), "removed").otherwise("changed").alias("status"))
+
+
+@query("SELECT d.doc_id, c.h IS NOT NULL AS hit FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 5 <> 0) c ON d.doc_id = c.doc_id AND d.h = c.h")
+def cache_hits(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    now = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    cache = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("c_id"), F.sha2(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")), 256).alias("c_h")).distinct()
+    return now.join(cache, (F.col("doc_id") == F.col("c_id")) & (F.col("h") == F.col("c_h")), "left").select("doc_id", F.col("c_id").isNotNull().alias("hit"))
+
+
+@query("SELECT a.page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) a WHERE href <> '' GROUP BY 1")
+def import_edges(spark, sf):
+    hrefs = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    return hrefs.where("href <> ''").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS u, l_partkey % 40 AS v FROM lineitem WHERE l_partkey % 11 = 3 AND l_suppkey % 40 <> l_partkey % 40 AND (l_suppkey * 7 + l_partkey) % 23 < 3),
+    r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+    m AS (SELECT a.u AS node, least(a.u, min(a.v)) AS component FROM r a JOIN r b ON a.u = b.v AND a.v = b.u WHERE a.u <> a.v GROUP BY a.u)
+    SELECT node, component FROM m"""
+)
+def scc(spark, sf):
+    edges = table(spark, sf, "lineitem").where("l_partkey % 11 = 3 and (l_suppkey * 7 + l_partkey) % 23 < 3").select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst"))
+    return graph.components(edges)
+
+
+@query("SELECT p_partkey, "similar", distance FROM (SELECT p_partkey, s AS "similar", CAST(levenshtein(p_brand, s) AS INTEGER) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS rn FROM part, (VALUES (1, 'Brand#9'), (2, 'Brand#1'), (3, 'Brind#55')) t(o, s) WHERE levenshtein(p_brand, s) BETWEEN 1 AND 2) WHERE rn = 1")
+def typosquat(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("name"))
+    return part.join(similarity.typosquats(part, ["Brand#9", "Brand#1", "Brind#55"]), "name").select("p_partkey", "similar", "distance")
+
+
+@query("SELECT p_partkey, p_size > 30 AS over, CASE WHEN p_size >= 45 THEN 'A' WHEN p_size >= 40 THEN 'B' WHEN p_size >= 35 THEN 'C' WHEN p_size >= 30 THEN 'D' ELSE 'F' END AS grade FROM part WHERE p_size > 10")
+def threshold_rule(spark, sf):
+    part = table(spark, sf, "part").where("p_size > 10")
+    return part.select("p_partkey", (F.col("p_size") > 30).alias("over"), grade(F.col("p_size") * 2).alias("grade"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events")
+def json_pointer(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("")).alias("missing"))
+
+
+@query("WITH f AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), 'on')) AS n, source FROM documents) SELECT source, CAST(max(n) AS INTEGER) AS n, min_by(doc_id, (-n, doc_id)) AS doc_id FROM f GROUP BY 1 HAVING max(n) > 5")
+def arg_max_file(spark, sf):
+    f = table(spark, sf, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("on")).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("doc_id").alias("d")))
+    return f.groupBy("source").agg(best.alias("b")).select("source", (-F.col("b.m")).alias("n"), F.col("b.d").alias("doc_id")).where("n > 5")
+
+
+@query("SELECT event_type, user_id, min(ts) AS started, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY event_type, user_id, g")
+def debounce(spark, sf):
+    events = table(spark, sf, "events")
+    bursts = events.groupBy("event_type", "user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return bursts.select("event_type", "user_id", F.col("w.start").alias("started"), "n")
