@@ -12,15 +12,17 @@ from lintarium.sources.tables import ship
 def typosquats(names: DataFrame, popular: list[str], column: str = "name", most: int = 2) -> DataFrame:
     """(column, similar, distance): of the popular names within 1 to ``most`` edits the first in the list's order.
 
-    The list is part of the configuration and goes along as an array; lengths and the built-in distance, which is at
-    most twice the alignment distance, thin out the pairs before Python sees them. Popular names themselves are fine.
+    Case is ignored, and hyphens are underscores. The list is part of the configuration and goes along as an array;
+    lengths and the built-in distance, which is at most twice the alignment distance, thin out the pairs before Python
+    sees them. A popular name may itself be near to another.
     """
     ship(names.sparkSession)
-    n = names.select(column).where(F.col(column).isNotNull()).distinct()
-    n = n.where(~F.col(column).isin(*popular)) if popular else n
-    pairs = n.select(column, F.posexplode(F.array(*[F.lit(p) for p in popular]) if popular else F.array().cast("array<string>")).alias("_ord", "similar"))
-    pairs = pairs.where((F.abs(F.length(column) - F.length("similar")) <= most) & (F.levenshtein(F.col(column), F.col("similar")) <= 2 * most))
-    near = pairs.withColumn("distance", osa_distance(column, "similar")).where(F.col("distance").between(1, most))
+    plain = F.regexp_replace(F.lower(column), "-", "_")
+    n = names.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_plain", plain)
+    listed = F.array(*[F.struct(F.lit(p).alias("similar"), F.lit(p.lower().replace("-", "_")).alias("p")) for p in popular])
+    pairs = n.select(column, "_plain", F.posexplode(listed).alias("_ord", "_top")).select(column, "_plain", "_ord", "_top.similar", "_top.p")
+    pairs = pairs.where((F.abs(F.length("_plain") - F.length("p")) <= most) & (F.levenshtein(F.col("_plain"), F.col("p")) <= 2 * most))
+    near = pairs.withColumn("distance", osa_distance("_plain", "p")).where(F.col("distance").between(1, most))
     return near.groupBy(column).agg(F.min(F.struct("_ord", "similar", "distance")).alias("m")).select(column, "m.similar", "m.distance")
 
 

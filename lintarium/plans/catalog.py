@@ -375,10 +375,10 @@ def scc(spark, sf):
     return graph.components(edges)
 
 
-@query("SELECT p_partkey, "similar", distance FROM (SELECT p_partkey, s AS "similar", CAST(levenshtein(p_brand, s) AS INTEGER) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS rn FROM part, (VALUES (1, 'Brand#9'), (2, 'Brand#1'), (3, 'Brind#55')) t(o, s) WHERE levenshtein(p_brand, s) BETWEEN 1 AND 2) WHERE rn = 1")
+@query("SELECT p_partkey, near_name, distance FROM (SELECT p_partkey, s AS near_name, CAST(levenshtein(p_brand, s) AS INTEGER) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS rn FROM part, (VALUES (1, 'Brand#9'), (2, 'Brand#1'), (3, 'Brind#55')) t(o, s) WHERE levenshtein(p_brand, s) BETWEEN 1 AND 2) WHERE rn = 1")
 def typosquat(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("name"))
-    return part.join(similarity.typosquats(part, ["Brand#9", "Brand#1", "Brind#55"]), "name").select("p_partkey", "similar", "distance")
+    return part.join(similarity.typosquats(part, ["Brand#9", "Brand#1", "Brind#55"]), "name").select("p_partkey", F.col("similar").alias("near_name"), "distance")
 
 
 @query("SELECT p_partkey, p_size > 30 AS over, CASE WHEN p_size >= 45 THEN 'A' WHEN p_size >= 40 THEN 'B' WHEN p_size >= 35 THEN 'C' WHEN p_size >= 30 THEN 'D' ELSE 'F' END AS grade FROM part WHERE p_size > 10")
