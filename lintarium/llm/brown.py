@@ -16,7 +16,7 @@ from lintarium.llm.common import held_out, ship, text_of, written
 
 #: Words with a unit of their own in the clustering, buckets by ending for all other words, and classes.
 HEAD, ENDINGS, CLASSES = 2048, 512, 64
-#: Words whose counts go out to all workers; the counts of rarer ones are joined.
+#: Words, at most, whose counts go out to all workers; the counts of rarer ones are joined.
 SENT_WORDS = 200_000
 #: Share of the smoothed unigram in a token's probability; pseudo-count of a class's own frequency in its transitions.
 MIXED, PSEUDO = 0.05, 10.0
@@ -211,8 +211,16 @@ class Model:
 def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, endings: int = ENDINGS, classes: int = CLASSES, sent_words: int = SENT_WORDS) -> Model:
     """The model from all training texts (column ``_text``) and their word counts."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(sent_words).toArrow()
-    lexicon = Lexicon([bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy().astype(np.int64), head, endings, int(total["e"] or 0))
+    words = counts.where(F.col("word") != F.lit(END)).withColumn("level", F.floor(F.log2("n") * 8))
+    # Whole levels of counts, an eighth of an octave each, from the top as long as they fit: no task sorts for all.
+    level, room = None, sent_words
+    for r in sorted(words.groupBy("level").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["level"]):
+        if r["c"] > room:
+            break
+        level, room = r["level"], room - r["c"]
+    top = words.where(F.col("level") >= F.lit(level)).select("word", "n").toArrow().to_pylist()
+    top.sort(key=lambda r: (-r["n"], r["word"]))
+    lexicon = Lexicon([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), head, endings, int(total["e"] or 0))
     pairs = pair_counts(training, lexicon)
     cls = exchange(pairs, classes)
     size = np.bincount(cls, pairs.sum(axis=1), classes)
