@@ -16,7 +16,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintarium.llm.common import scratch, ship, text_of, written
+from lintarium.llm.common import partitions, scratch, ship, text_of, written
 
 #: Lines of an index block; bytes after which a task begins another archive; directory bytes that are sent out at once.
 BLOCK_LINES, ARCHIVE_BYTES, DIRECTORY_BYTES = 1024, 1 << 30, 32 << 20
@@ -259,8 +259,9 @@ def lookup(keys: DataFrame, folder: str, directory: DataFrame, directory_bytes:
                 out = [parse(reader.read(f"{folder}/{f}", o, n)) for f, o, n in zip(*(c.to_pylist() for c in b.slice(i, 256).columns))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in kinds.items()], names=list(kinds))
 
-    pointers = found.repartition("file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(lines, "file string, offset bigint, length bigint")
-    return pointers.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, columns)
+    # The numbers of partitions are given, as pointers are small but what they lead to isn't.
+    pointers = found.repartition(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(lines, "file string, offset bigint, length bigint")
+    return pointers.repartitionByRange(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, columns)
 
 
 def keys_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
