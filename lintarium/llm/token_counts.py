@@ -137,7 +137,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     counted = fetched.mapInArrow(run, "digest string, n_tokens bigint")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    entries = load_cache(spark, cache, version)
+    # Written, so that the join deals out both sides itself and may split a digest that very many rows share.
+    entries = written(load_cache(spark, cache, version), "token-entries")
     out = meta.join(entries, "digest", "left")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
