@@ -117,10 +117,11 @@ def summary_delta(spark, sf):
     return analytics.delta(table(spark, sf, "events"), F.date_format("ts", "yyyy-MM-dd"), "event_type", DAY_1, DAY_2)
 
 
-@query("WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, n - lag(n) OVER (ORDER BY day) AS n_delta FROM d")
+@query("WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, n - lag(n) OVER (ORDER BY day) AS n_delta FROM d QUALIFY n_delta IS NOT NULL")
 def previous_scan(spark, sf):
     days = analytics.counts(_day(table(spark, sf, "events")), "day")
-    return sequences.change(days.withColumn("project", F.lit(0)), ["project"], "day", ["n"]).drop("project")
+    # The first scan has none before it.
+    return sequences.change(days.withColumn("project", F.lit(0)), ["project"], "day", ["n"]).drop("project").where("n_delta is not null")
 
 
 @query("SELECT l_returnflag, max(l_linenumber) AS worst, count(*) AS n FROM lineitem GROUP BY 1")
