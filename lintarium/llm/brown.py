@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 
 from lintarium.llm.common import held_out, ship, text_of, written
 
-#: Words with a unit of their own in the clustering, buckets by ending for all other words, and classes.
+#: Words with a unit of their own in the exchange, buckets by ending for words too rare to be placed, and classes.
 HEAD, ENDINGS, CLASSES = 2048, 512, 64
+#: Every other word that occurs this often is placed into a class by the classes around it, however many such words there are.
+LEAST = 4
 #: Words, at most, whose counts go out to all workers; the counts of rarer ones are joined.
 SENT_WORDS = 200_000
 #: Share of the smoothed unigram in a token's probability; pseudo-count of a class's own frequency in its transitions.
@@ -61,27 +66,52 @@ def _table(counts: Counter) -> pa.RecordBatch:
 
 @dataclass
 class Lexicon:
-    """The most frequent words with their counts, and the unit of every word. Units: head words, END, endings."""
+    """The most frequent words with their counts, and the unit of every word. Units: head words, END, endings, classes.
+
+    A word that was placed into a class has the class's unit: ``sent_units`` for words in the list (-1: not placed), and for
+    words outside it ``placed_keys``, sorted digests, with ``placed_units``.
+    """
 
     words: list[bytes]
     counts: np.ndarray
     head: int
     endings: int
     end_count: int
+    sent_units: np.ndarray | None = None
+    placed_keys: np.ndarray | None = None
+    placed_units: np.ndarray | None = None
+    name: str = ""
 
     def __post_init__(self):
+        self.name = self.name or uuid.uuid4().hex
         self.place = {w: i for i, w in enumerate([*self.words, END])}
-        rest = [self.ending(w) for w in self.words[self.head :]]
+        rest = [self.bucket(w) for w in self.words[self.head :]]
         self.unit = np.array([*range(min(self.head, len(self.words))), *rest, self.head], np.int64)
+        if self.sent_units is not None:
+            self.unit = np.where(self.sent_units < 0, self.unit, self.sent_units)
         self.count = np.append(self.counts, self.end_count)
 
     @property
     def units(self) -> int:
         return self.head + 1 + self.endings
 
-    def ending(self, word: bytes) -> int:
+    def bucket(self, word: bytes) -> int:
         return self.head + 1 + zlib.crc32(word[-3:]) % self.endings
 
+    def ending(self, word: bytes) -> int:
+        """Unit of a word that isn't in the head: its class's, or its bucket's where it wasn't placed."""
+        at = self.place.get(word)
+        return int(self.unit[at]) if at is not None else int(self.others([word])[0])
+
+    def others(self, words: list[bytes]) -> np.ndarray:
+        """Units of words that aren't in the list."""
+        units = np.array([self.bucket(w) for w in words], np.int64)
+        if words and self.placed_keys is not None and len(self.placed_keys):
+            keys = np.array([digest(w) for w in words], np.int64)
+            at = np.minimum(np.searchsorted(self.placed_keys, keys), len(self.placed_keys) - 1)
+            units = np.where(self.placed_keys[at] == keys, self.placed_units[at], units)
+        return units
+
     def stream(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Units of all tokens with END after each text; places of the words (-1: not in the list); starts; the rare words."""
         get = self.place.get
@@ -96,33 +126,40 @@ class Lexicon:
         rare = [flat[i] for i in rare_at.tolist()]
         units = self.unit[places]
         if rare:
-            units[rare_at] = [self.ending(w) for w in rare]
+            units[rare_at] = self.others(rare)
         return units, places, starts, rare
 
     def packed(self) -> tuple:
-        return self.words, self.counts, self.head, self.endings, self.end_count
+        return self.words, self.counts, self.head, self.endings, self.end_count, self.sent_units, self.placed_keys, self.placed_units, self.name
+
 
+def digest(word: bytes) -> int:
+    """64 bits of a word that are the same in every process."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
 
-_lexicons: dict[int, Lexicon] = {}
 
+_lexicons: dict[str, Lexicon] = {}
 
-def _lexicon(key: int, packed: tuple) -> Lexicon:
-    if key not in _lexicons:
+
+def _lexicon(packed: tuple) -> Lexicon:
+    if packed[-1] not in _lexicons:
         _lexicons.clear()
-        _lexicons[key] = Lexicon(*packed)
-    return _lexicons[key]
+        _lexicons[packed[-1]] = Lexicon(*packed)
+    return _lexicons[packed[-1]]
 
 
-def pair_counts(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """How often each unit follows each other one, over all training tokens: units x units, whatever the input's size."""
-    sc, n = training.sparkSession.sparkContext, lexicon.units
+def pair_counts(training: DataFrame, lexicon: Lexicon, cls: np.ndarray | None = None, classes: int = CLASSES) -> np.ndarray:
+    """How often each unit, or each class where ``cls`` gives the units' classes, follows each other one, over all training tokens."""
+    sc, n = training.sparkSession.sparkContext, lexicon.units if cls is None else classes
     sent = sc.broadcast(lexicon.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, dense = _lexicon(sent.id if hasattr(sent, "id") else id(sent), sent.value), np.zeros(n * n, np.int64)
+        known, dense = _lexicon(sent.value), np.zeros(n * n, np.int64)
         for _, texts in _portions(batches):
             units = known.stream(texts)[0]
             before = np.append(known.head, units[:-1])
+            if cls is not None:
+                units, before = cls[units], cls[before]
             dense += np.bincount(before * n + units, minlength=n * n)
         codes = np.flatnonzero(dense)
         for i in range(0, len(codes), 1 << 18):
@@ -135,6 +172,84 @@ def pair_counts(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
     return out.reshape(n, n)
 
 
+def placements(training: DataFrame, lexicon: Lexicon, cls: np.ndarray, step: np.ndarray, size: np.ndarray, least: int) -> pa.Table:
+    """(place, key, bucket, cls) of every word outside the head that occurs ``least`` times or more.
+
+    Its class is the one that makes the classes after it and its own occurrences likeliest: the sum over its contexts of
+    log P(class after | class) + log P(class | class before) / size of the class. Workers count the contexts of a portion
+    of words, and a word's contexts meet in one row; place is -1 for words outside the list, which have a digest as key.
+    """
+    sc, n = training.sparkSession.sparkContext, len(size)
+    sent = sc.broadcast(lexicon.packed())
+    after = np.log(np.maximum(step, 1e-300))
+    before = np.log(np.maximum(step, 1e-300)).T - np.log(np.maximum(size, 0.5))[:, None]
+    # One row for each class: what a context on the left (first n) and on the right adds to it.
+    adds = np.hstack([before, after])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _lexicon(sent.value)
+        listed = max(len(known.words) - known.head, 0)
+        dense, others, held = np.zeros((listed, 2 * n), np.int32), defaultdict(list), 0
+        for _, texts in _portions(batches):
+            units, places, _, rare = known.stream(texts)
+            c = cls[units]
+            left, right = np.append(cls[known.head], c[:-1]), np.append(c[1:], cls[known.head])
+            at = np.flatnonzero((places >= known.head) & (places < len(known.words)))
+            np.add.at(dense, (places[at] - known.head, left[at]), 1)
+            np.add.at(dense, (places[at] - known.head, right[at] + n), 1)
+            at = np.flatnonzero(places < 0)
+            for w, x, y in zip(rare, left[at].tolist(), (right[at] + n).tolist()):
+                others[w] += (x, y)
+            held += len(rare)
+            if held > COUNTED:
+                yield _contexts(list(others), [len(x) for x in others.values()], list(chain.from_iterable(others.values())), 1)
+                others, held = defaultdict(list), 0
+        yield _contexts(list(others), [len(x) for x in others.values()], list(chain.from_iterable(others.values())), 1)
+        for i in range(0, listed, 1 << 13):
+            part = dense[i : i + (1 << 13)]
+            lengths = np.count_nonzero(part, axis=1)
+            here = np.flatnonzero(lengths)
+            yield _contexts([known.words[known.head + i + j] for j in here.tolist()], lengths[here], np.nonzero(part)[1], part[part > 0])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _lexicon(sent.value)
+        for b in batches:
+            words, found = b.column("word").to_pylist(), [b"".join(x) for x in b.column("found").to_pylist()]
+            flat = np.frombuffer(b"".join(found), _CONTEXT)
+            counts = np.zeros((b.num_rows, 2 * n))
+            np.add.at(counts, (np.repeat(np.arange(b.num_rows), [len(x) // _CONTEXT.itemsize for x in found]), flat["c"]), flat["n"])
+            best = np.argmax(counts @ adds.T, axis=1)
+            # A word has as many contexts on its left as it occurs.
+            kept = np.flatnonzero(counts[:, :n].sum(axis=1) >= least)
+            words, best = [words[i] for i in kept.tolist()], best[kept]
+            places = [known.place.get(w, -1) for w in words]
+            columns = [places, [digest(w) for w in words], [known.bucket(w) for w in words], best]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["place", "key", "bucket", "cls"])
+
+    rows = training.mapInArrow(contexts, "word binary, found binary").groupBy("word").agg(F.collect_list("found").alias("found"))
+    return rows.mapInArrow(choose, "place bigint, key bigint, bucket bigint, cls bigint").toArrow()
+
+
+#: A context, the class and n more on the right, and how often it occurs.
+_CONTEXT = np.dtype([("c", "<u2"), ("n", "<u4")])
+
+
+def _contexts(words: list[bytes], lengths, c, n) -> pa.RecordBatch:
+    """A row for each word with its packed contexts: ``lengths`` of them for each word, one word after the other."""
+    flat = np.empty(len(c), _CONTEXT)
+    flat["c"], flat["n"] = c, n
+    ends = np.append(0, np.cumsum(lengths, dtype=np.int64)) * _CONTEXT.itemsize
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), found], names=["word", "found"])
+
+
+def _steps(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed transitions of the classes, and their sizes."""
+    size = table.sum(axis=1)
+    share = size / max(size.sum(), 1)
+    return (table + PSEUDO * share) / (size[:, None] + PSEUDO), size
+
+
 def _h(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -208,7 +323,7 @@ class Model:
         return (1 - self.mixed) * weight * (counts + 0.5) + self.mixed * base * known
 
 
-def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, endings: int = ENDINGS, classes: int = CLASSES, sent_words: int = SENT_WORDS) -> Model:
+def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, endings: int = ENDINGS, classes: int = CLASSES, sent_words: int = SENT_WORDS, least: int = LEAST) -> Model:
     """The model from all training texts (column ``_text``) and their word counts."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
     words = counts.where(F.col("word") != F.lit(END)).withColumn("level", F.floor(F.log2("n") * 8))
@@ -223,20 +338,29 @@ def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, endings: int =
     lexicon = Lexicon([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), head, endings, int(total["e"] or 0))
     pairs = pair_counts(training, lexicon)
     cls = exchange(pairs, classes)
-    size = np.bincount(cls, pairs.sum(axis=1), classes)
     table = np.zeros((classes, classes))
     np.add.at(table, (cls[:, None], cls[None, :]), pairs)
-    share = size / max(size.sum(), 1)
-    step = (table + PSEUDO * share) / (size[:, None] + PSEUDO)
-    # Distinct words of each class: head words and END are units of one word.
+    placed = placements(training, lexicon, cls, *_steps(table), least)
+    place, key, buckets, into = (placed[c].to_numpy() for c in ("place", "key", "bucket", "cls"))
+    units = lexicon.units + into
+    sent_units = np.full(len(lexicon.words) + 1, -1, np.int64)
+    sent_units[place[place >= 0]] = units[place >= 0]
+    order = np.argsort(key[place < 0])
+    lexicon = Lexicon(*lexicon.packed()[:5], sent_units, key[place < 0][order], units[place < 0][order])
+    cls = np.append(cls, np.arange(classes))
+    # The classes changed, so their transitions are counted again.
+    step, size = _steps(pair_counts(training, lexicon, cls, classes))
+    # Distinct words of each class: head words and END are units of one word, a placed word leaves its bucket for its class.
     bucket = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(endings)).cast("int")
-    types = np.zeros(lexicon.units)
+    types = np.zeros(lexicon.units + classes)
     types[: min(head, len(lexicon.words))] = 1
     types[head] = lexicon.end_count > 0
     for r in counts.where(F.col("word") != F.lit(END)).groupBy(bucket.alias("b")).count().collect():
         types[head + 1 + r["b"]] = r["count"]
     for w in lexicon.words[:head]:
-        types[lexicon.ending(w)] -= 1
+        types[lexicon.bucket(w)] -= 1
+    np.subtract.at(types, buckets, 1)
+    np.add.at(types, units, 1)
     kinds = np.bincount(cls, types, classes)
     return Model(lexicon.packed(), cls, step / (size + 0.5 * (kinds + 1)), int(total["n"] or 0), int(total["v"]), MIXED, classes)
 
@@ -247,9 +371,10 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     A token's probability is (1 - MIXED) * P(class | class before) * P(word | class) + MIXED * unigram. Emissions and
     unigram are smoothed by half a count, over the known words of the class or of all and one unknown, so both parts
     sum to one; an unknown word takes the class of its ending and an equal share of the unknown. All training tokens
-    are counted: the ``HEAD`` most frequent words are clustered each for itself, all others by the bucket of their last
-    three bytes, so what is clustered has a fixed size and no word is left out. Words beyond ``SENT_WORDS`` get their
-    exact counts by a join.
+    are counted: the ``HEAD`` most frequent words are clustered each for itself, every other word that occurs ``LEAST``
+    times is placed into one of the classes by the classes around it, and only rarer ones take the class of their last
+    three bytes, so the clustered vocabulary grows with the input. Words beyond ``SENT_WORDS`` get their exact counts by
+    a join.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. Null text counts as empty and
     has one token, its end. Repeated rows stay rows and are learned from as often; null ids hash as the empty text.
@@ -266,7 +391,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        known = _lexicon(id(m), m.lexicon)
+        known = _lexicon(m.lexicon)
         for b, texts in _portions(batches):
             units, places, starts, rare = known.stream(texts)
             cls = m.cls[units]

@@ -91,6 +91,21 @@ def test_brown_probabilities_sum_to_one(spark):
         assert total == pytest.approx(1.0)
 
 
+def test_brown_places_words_beyond_the_head_by_their_contexts(spark):
+    rng = random.Random(8)
+    # Two kinds of words that take turns; endings say nothing of the kind, and most words aren't among the eight of the head.
+    kinds = [[f"{k}{i}x{i % 3}" for i in range(60)] for k in "pq"]
+    pick = lambda ws: ws[min(int(rng.expovariate(0.15)), 59)]
+    train = spark.createDataFrame([(" ".join(pick(kinds[j % 2]) for j in range(40)),) for _ in range(200)], "_text string")
+    counts = brown.word_counts(train)
+    m = brown.fit(train, counts, head=8, endings=4, classes=3, sent_words=20)
+    lexicon = brown.Lexicon(*m.lexicon)
+    assert len(lexicon.words) <= 20
+    often = [r["word"].decode() for r in counts.where("n >= 10").collect() if bytes(r["word"]) != brown.END]
+    found = {k: {int(m.cls[lexicon.place[w.encode()] if lexicon.place.get(w.encode(), 99) < 8 else lexicon.ending(w.encode())]) for w in often if w[0] == k} for k in "pq"}
+    assert len(often) > 40 and not found["p"] & found["q"]
+
+
 def test_exchange_finds_two_kinds_of_words():
     pairs = np.zeros((8, 8))
     for a in range(4):
