@@ -376,6 +376,17 @@ def scc(spark, sf):
     return graph.components(edges)
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS v FROM lineitem WHERE l_suppkey <> l_partkey AND l_partkey IN (SELECT l_suppkey FROM lineitem)),
+    r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+    m AS (SELECT a.u AS node, least(a.u, min(a.v)) AS component FROM r a JOIN r b ON a.u = b.v AND a.v = b.u WHERE a.u <> a.v GROUP BY a.u)
+    SELECT node, component FROM m"""
+)
+def scc_all(spark, sf):
+    """Components over all edges from supplier to part. The SQL's closure leaves out nodes without an edge out: they are on no cycle."""
+    return graph.components(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
 @query("SELECT p_partkey, near_name, distance FROM (SELECT p_partkey, s AS near_name, CAST(levenshtein(p_brand, s) AS INTEGER) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS rn FROM part, (VALUES (1, 'Brand#9'), (2, 'Brand#1'), (3, 'Brind#55')) t(o, s) WHERE levenshtein(p_brand, s) BETWEEN 1 AND 2) WHERE rn = 1")
 def typosquat(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("name"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lintarium.functions import severity
 from lintarium.functions.text import glob_regex, lines, osa, position, version
 from lintarium.operators import findings, graph, sequences, similarity
-from lintarium.plans import analytics
+from lintarium.plans import analytics, catalog
 
 
 @pytest.mark.parametrize(("glob", "yes", "no"), [("src/**/*.rs", ["src/a.rs", "src/x/y/a.rs"], ["a.rs", "src/a.py"]), ("*.py", ["a.py"], ["x/a.py"]), ("a/**", ["a/b/c"], ["b/a/c"]), ("{a,b}/?.js", ["a/x.js", "b/y.js"], ["c/x.js", "a/xy.js"]), ("[!a]*", ["b1"], ["a1", "b/c"]), ("a.b", ["a.b"], ["axb"])])
@@ -109,6 +109,25 @@ def test_strong_components(spark):
     assert graph.components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_strong_components_of_all_line_items(spark, tmp_path):
+    rng = random.Random(11)
+    edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(110)] + [(200, 201), (201, 200), (300, 301), (301, 302), (302, 300)]
+    spark.createDataFrame(edges, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = {a: {b for x, b in edges if x == a} for a in range(400)}
+    reach = {}
+    for a in out:
+        seen, todo = set(), [a]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[a] = seen
+    groups = {a: {a} | {b for b in reach[a] if a in reach[b]} for a in out}
+    want = {(a, min(g)) for a, g in groups.items() if len(g) > 1}
+    got = [tuple(r) for r in catalog.QUERIES["scc_all"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and len({c for _, c in want}) >= 3
+
+
 def test_typosquats_take_the_first_of_the_list(spark):
     names = spark.createDataFrame([("reqeusts",), ("requests",), ("numpi",), ("zzz",), (None,)], "name string")
     got = {tuple(r) for r in similarity.typosquats(names, ["requests", "numpy", "numba"]).collect()}
