@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintarium.functions.severity import SEVERITIES, rank
 from lintarium.functions.text import glob_regex
+from lintarium.sources.tables import written
 
 DIRECTIVE = r"^\s*(?:lint|lintarium):\s*(ignore-file|ignore)\s*(.*)$"
 
@@ -81,6 +82,24 @@ def in_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy("path", "start", "rule_id", "end", "message")
 
 
+def with_positions(rows: DataFrame, *keys: str) -> DataFrame:
+    """All rows with their position, from 0, in the order of ``keys``, which must be total.
+
+    Ranges of rows are sorted each for itself and written with their place in the range; the sizes of the ranges before
+    come to it. No task holds all rows.
+    """
+    spots = written(rows.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    # The id has the range in its upper bits and the row of the range in its lower 33.
+    part = F.shiftright("_at", 33).cast("int")
+    before, at = [], 0
+    for r in sorted(spots.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):
+        before.append((r["p"], at))
+        at += r["count"]
+    starts = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    placed = spots.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn("position", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
+
+
 def fails(findings: DataFrame, threshold: str) -> bool:
     """Whether a finding is at least as severe; stops at the first."""
     return not findings.where(rank(F.col("severity")) >= SEVERITIES.index(threshold)).limit(1).isEmpty()

@@ -202,6 +202,13 @@ def canonical_sort(spark, sf):
     return table(spark, sf, "events").orderBy("user_id", "ts", "event_id").limit(100).select("event_type", "user_id", F.regexp_replace(F.col("ts").cast("string"), r"(\.\d*?)0+$", "$1").alias("at"))
 
 
+@query("SELECT event_type, user_id, CAST(ts AS VARCHAR) AS at, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS position FROM events")
+def canonical_order(spark, sf):
+    """Every row of the canonical order with its position."""
+    events = ops.with_positions(table(spark, sf, "events").select("event_type", "user_id", "ts", "event_id"), "user_id", "ts", "event_id")
+    return events.select("event_type", "user_id", F.regexp_replace(F.col("ts").cast("string"), r"(\.\d*?)0+$", "$1").alias("at"), "position")
+
+
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
 def retention(spark, sf):
     return sequences.newest(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")

@@ -109,6 +109,18 @@ def test_strong_components(spark):
     assert graph.components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_canonical_order_has_every_row_at_its_position(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(20), f"t{i % 3}", f"2024-01-{rng.randrange(1, 9):02}") for i in range(500)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, d string").selectExpr("event_id", "user_id", "event_type", "cast(d as timestamp) as ts")
+    events.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(catalog.QUERIES["canonical_order"](spark, str(tmp_path)).collect(), key=lambda r: r["position"])
+    want = sorted(rows, key=lambda r: (r[1], r[3], r[0]))
+    assert [r["position"] for r in got] == list(range(500))
+    assert [(r["event_type"], r["user_id"], r["at"][:10]) for r in got] == [(t, u, d) for _, u, t, d in want]
+    assert findings.with_positions(events.limit(0), "event_id").count() == 0
+
+
 def test_strong_components_of_all_line_items(spark, tmp_path):
     rng = random.Random(11)
     edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(110)] + [(200, 201), (201, 200), (300, 301), (301, 302), (302, 300)]
