@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from lintarium.sources.tables import written
 
 
-def edges_by_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst) from imports (path, module) and files (path): a module names the files whose path ends with it.
+def targets_by_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, module, dst) of each distinct import (path, module) over files (path): a module names the file whose path ends with it.
 
     A file offers a key for each ending of its path without extension; of files that offer the same key the first
-    path owns it. One equi join; a file doesn't import itself.
+    path owns it. One equi join; dst is null where no file has the key.
     """
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), r"/(__init__|index|mod)$", ""), "/"), lambda p: p != "")
     keys = files.select("path", parts.alias("_p")).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_p"), F.lit(1))), lambda i: F.array_join(F.slice("_p", i, F.size("_p")), "/"))).alias("_key"))
     owners = keys.where("_key <> ''").groupBy("_key").agg(F.min("path").alias("dst"))
-    wanted = imports.select(F.col("path").alias("src"), F.regexp_replace(F.regexp_replace("module", r"^(crate::|[./]+)", ""), r"::|\.", "/").alias("_key"))
-    return wanted.join(owners, "_key").where("src <> dst").select("src", "dst").distinct()
+    wanted = imports.select(F.col("path").alias("src"), "module", F.regexp_replace(F.regexp_replace("module", r"^(crate::|[./]+)", ""), r"::|\.", "/").alias("_key")).distinct()
+    return wanted.join(owners, "_key", "left").select("src", "module", "dst")
+
+
+def edges_by_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst) from imports (path, module) and files (path), by ``targets_by_suffix``; a file doesn't import itself."""
+    return targets_by_suffix(imports, files).where("src <> dst").select("src", "dst").distinct()
 
 
 def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:

@@ -372,6 +372,30 @@ def import_edges(spark, sf):
     return hrefs.where("href <> ''").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+_IMPORTS = r"""i AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS module FROM pages),
+    p AS (SELECT url, list_filter(string_split(regexp_replace(regexp_replace(url, '\.[^./]+$', ''), '/(__init__|index|mod)$', ''), '/'), lambda x: x <> '') AS p FROM pages),
+    k AS (SELECT url, array_to_string(list_slice(p, n, len(p)), '/') AS k FROM (SELECT url, p, unnest(range(1, len(p) + 1)) AS n FROM p)),
+    o AS (SELECT k, min(url) AS dst FROM k GROUP BY 1),
+    t AS (SELECT src, module, dst FROM i LEFT JOIN o ON k = regexp_replace(regexp_replace(module, '^(crate::|[./]+)', ''), '::|\.', '/', 'g'))"""
+
+
+def _imports(spark, sf):
+    pages = table(spark, sf, "pages")
+    hrefs = pages.select(F.col("url").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("module"))
+    return hrefs, pages.select(F.col("url").alias("path"))
+
+
+@query(f"WITH {_IMPORTS} SELECT DISTINCT src, dst FROM t WHERE src <> dst")
+def import_edges_by_suffix(spark, sf):
+    return graph.edges_by_suffix(*_imports(spark, sf))
+
+
+@query(f"WITH {_IMPORTS} SELECT * FROM t")
+def import_targets(spark, sf):
+    """Every distinct import with the page that owns its key, unresolved ones included."""
+    return graph.targets_by_suffix(*_imports(spark, sf))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS u, l_partkey % 40 AS v FROM lineitem WHERE l_partkey % 11 = 3 AND l_suppkey % 40 <> l_partkey % 40 AND (l_suppkey * 7 + l_partkey) % 23 < 3),
     r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),

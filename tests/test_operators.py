@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,6 +122,22 @@ def test_canonical_order_has_every_row_at_its_position(spark, tmp_path):
     assert findings.with_positions(events.limit(0), "event_id").count() == 0
 
 
+def test_imports_of_pages_have_targets(spark, tmp_path):
+    link = lambda *hs: "".join(f'<a href="{h}">' for h in hs)
+    pages = [(0, "http://b/x/one.html", link("/two", "/one", "/none", "", "/two")), (1, "http://b/two", link("/x/one", "/shared")), (2, "http://a/shared", ""), (3, "http://c/shared", link("shared.htm", "/shared"))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    edges = [("http://b/x/one.html", "http://b/two"), ("http://b/two", "http://b/x/one.html"), ("http://b/two", "http://a/shared"), ("http://c/shared", "http://a/shared")]
+    assert sorted(tuple(r) for r in catalog.QUERIES["import_edges_by_suffix"](spark, str(tmp_path)).collect()) == sorted(edges)
+    b, two, c = "http://b/x/one.html", "http://b/two", "http://c/shared"
+    want = [(b, "/two", two), (b, "/one", b), (b, "/none", None), (two, "/x/one", b), (two, "/shared", "http://a/shared"), (c, "shared.htm", None), (c, "/shared", "http://a/shared")]
+    got = [tuple(r) for r in catalog.QUERIES["import_targets"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(con.execute(catalog.ORACLES["import_targets"]).fetchall(), key=str) == sorted(want, key=str)
+    assert sorted(con.execute(catalog.ORACLES["import_edges_by_suffix"]).fetchall()) == sorted(edges)
+
+
 def test_strong_components_of_all_line_items(spark, tmp_path):
     rng = random.Random(11)
     edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(110)] + [(200, 201), (201, 200), (300, 301), (301, 302), (302, 300)]
