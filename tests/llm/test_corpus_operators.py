@@ -193,6 +193,16 @@ def test_quality(docs, rows, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_judges_words_of_short_texts(spark):
+    rng = random.Random(6)
+    common, rare = quality.COMMON["en"], [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(n))
+    rows = [(i, prose(rng.choice([70, 90, 400])), "en", 1) for i in range(200)]
+    junk = [(1000 + i, " ".join(rng.sample(rare, 60)), "en", 0) for i in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, good int")).collect()}
+    assert not any(got[1000 + i] for i in range(5)) and sum(got[i] for i in range(200)) >= 194
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     again = sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
