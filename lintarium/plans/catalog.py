@@ -44,6 +44,8 @@ _W = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.it
 #: The two days that are compared as scans.
 DAY_1, DAY_2 = "2024-01-14", "2024-01-15"
 SPACE = r"[^\x20\x09-\x0D]+"
+#: The date that parts the orders into two snapshots.
+SNAPSHOT = "1998-01-01"
 
 
 def _weight():
@@ -358,6 +360,20 @@ def api_diff(spark, sf):
     return j.select("name", F.when(F.col("now").isNull(), "removed").otherwise("changed").alias("status"))
 
 
+@query(
+    f"""WITH h AS (SELECT o_custkey AS name, max(o_orderstatus) AS kind FROM orders WHERE o_orderdate < TIMESTAMP '{SNAPSHOT}' GROUP BY 1),
+    n AS (SELECT o_custkey AS name, max(o_orderstatus) AS kind FROM orders WHERE o_orderdate >= TIMESTAMP '{SNAPSHOT}' GROUP BY 1)
+    SELECT h.name, CASE WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS status FROM h LEFT JOIN n USING (name) WHERE n.name IS NULL OR h.kind <> n.kind"""
+)
+def api_diff_by_date(spark, sf):
+    """Customers as names, and orders before and from a date as the two snapshots."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderstatus").alias("a"), (F.col("o_orderdate") < F.lit(SNAPSHOT).cast("timestamp_ntz")).alias("old"))
+    head = o.where("old").groupBy("name").agg(F.max("a").alias("kind"))
+    now = o.where("not old").groupBy("name").agg(F.max("a").alias("now"))
+    j = head.join(now, "name", "left").where("now is null or kind <> now")
+    return j.select("name", F.when(F.col("now").isNull(), "removed").otherwise("changed").alias("status"))
+
+
 @query("SELECT d.doc_id, c.h IS NOT NULL AS hit FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 5 <> 0) c ON d.doc_id = c.doc_id AND d.h = c.h")
 def cache_hits(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

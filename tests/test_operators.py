@@ -138,6 +138,18 @@ def test_imports_of_pages_have_targets(spark, tmp_path):
     assert sorted(con.execute(catalog.ORACLES["import_edges_by_suffix"]).fetchall()) == sorted(edges)
 
 
+def test_api_diff_by_date_compares_every_name(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, i % 300, rng.choice("OF"), f"{rng.randrange(1996, 2000) if i % 5 else 1996}-06-01") for i in range(1200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, d string").selectExpr("*", "cast(d as timestamp_ntz) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    old, new = defaultdict(set), defaultdict(set)
+    for _, c, status, d in rows:
+        (old if d < catalog.SNAPSHOT else new)[c].add(status)
+    want = {(c, "changed" if c in new else "removed") for c in old if c not in new or max(old[c]) != max(new[c])}
+    got = [tuple(r) for r in catalog.QUERIES["api_diff_by_date"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and {"removed", "changed"} == {x for _, x in want} and max(want)[0] > 50
+
+
 def test_strong_components_of_all_line_items(spark, tmp_path):
     rng = random.Random(11)
     edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(110)] + [(200, 201), (201, 200), (300, 301), (301, 302), (302, 300)]
