@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintarium.llm.common import held_out, ship, text_of, written
+from lintarium.llm.common import forget, held_out, ship, text_of, written
 
-#: Words with a unit of their own in the exchange, buckets by ending for words too rare to be placed, and classes.
+#: Words with a unit of their own in the first exchange, buckets by ending for all other words there, and classes.
 HEAD, ENDINGS, CLASSES = 2048, 512, 64
-#: Every other word that occurs this often is placed into a class by the classes around it, however many such words there are.
+#: Every other word that occurs this often then moves to a class by the classes around it, however many such words there are.
 LEAST = 4
-#: Words, at most, whose counts go out to all workers; the counts of rarer ones are joined.
+#: Words, at most, whose counts and classes go out to all workers; those of rarer ones stay in a table and are joined.
 SENT_WORDS = 200_000
 #: Share of the smoothed unigram in a token's probability; pseudo-count of a class's own frequency in its transitions.
 MIXED, PSEUDO = 0.05, 10.0
-#: Passes of the exchange at most; distinct words that a worker counts before it hands them on.
-PASSES, COUNTED = 6, 400_000
+#: Passes of the exchange at most; distinct words, or contexts, that a worker counts before it hands them on.
+PASSES, COUNTED, HELD = 6, 400_000, 4_000_000
 #: Stands for the end of a text. It is white space, so it is never a word.
 END = b"\n"
 
@@ -66,10 +65,9 @@ def _table(counts: Counter) -> pa.RecordBatch:
 
 @dataclass
 class Lexicon:
-    """The most frequent words with their counts, and the unit of every word. Units: head words, END, endings, classes.
+    """The most frequent words, their counts and, once they are known, the classes of the words, of END and of the endings.
 
-    A word that was placed into a class has the class's unit: ``sent_units`` for words in the list (-1: not placed), and for
-    words outside it ``placed_keys``, sorted digests, with ``placed_units``.
+    In the first exchange, units are the head words, END, and the endings of all other words.
     """
 
     words: list[bytes]
@@ -77,65 +75,45 @@ class Lexicon:
     head: int
     endings: int
     end_count: int
-    sent_units: np.ndarray | None = None
-    placed_keys: np.ndarray | None = None
-    placed_units: np.ndarray | None = None
+    cls: np.ndarray | None = None
+    ending_cls: np.ndarray | None = None
     name: str = ""
 
     def __post_init__(self):
         self.name = self.name or uuid.uuid4().hex
         self.place = {w: i for i, w in enumerate([*self.words, END])}
-        rest = [self.bucket(w) for w in self.words[self.head :]]
-        self.unit = np.array([*range(min(self.head, len(self.words))), *rest, self.head], np.int64)
-        if self.sent_units is not None:
-            self.unit = np.where(self.sent_units < 0, self.unit, self.sent_units)
+        own = min(self.head, len(self.words))
+        self.unit = np.concatenate((np.arange(own), self.head + 1 + self.buckets(self.words[own:]), [self.head])).astype(np.int64)
         self.count = np.append(self.counts, self.end_count)
 
     @property
     def units(self) -> int:
         return self.head + 1 + self.endings
 
-    def bucket(self, word: bytes) -> int:
-        return self.head + 1 + zlib.crc32(word[-3:]) % self.endings
-
-    def ending(self, word: bytes) -> int:
-        """Unit of a word that isn't in the head: its class's, or its bucket's where it wasn't placed."""
-        at = self.place.get(word)
-        return int(self.unit[at]) if at is not None else int(self.others([word])[0])
-
-    def others(self, words: list[bytes]) -> np.ndarray:
-        """Units of words that aren't in the list."""
-        units = np.array([self.bucket(w) for w in words], np.int64)
-        if words and self.placed_keys is not None and len(self.placed_keys):
-            keys = np.array([digest(w) for w in words], np.int64)
-            at = np.minimum(np.searchsorted(self.placed_keys, keys), len(self.placed_keys) - 1)
-            units = np.where(self.placed_keys[at] == keys, self.placed_units[at], units)
-        return units
-
-    def stream(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Units of all tokens with END after each text; places of the words (-1: not in the list); starts; the rare words."""
-        get = self.place.get
+    def buckets(self, words: list[bytes]) -> np.ndarray:
+        return np.array([zlib.crc32(w[-3:]) % self.endings for w in words], np.int64)
+
+    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Places of all tokens with END after each text (-1: not in the list); starts of the texts; where the rare words are, and these."""
         flat: list = []
         starts = np.zeros(len(texts), np.int64)
         for i, words in enumerate(texts):
             starts[i] = len(flat)
             flat += words
             flat.append(END)
-        places = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+        places = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
         rare_at = np.flatnonzero(places < 0)
-        rare = [flat[i] for i in rare_at.tolist()]
-        units = self.unit[places]
+        return places, starts, rare_at, [flat[i] for i in rare_at.tolist()]
+
+    def of_all(self, own: np.ndarray, ending: np.ndarray, places: np.ndarray, rare_at: np.ndarray, rare: list[bytes]) -> np.ndarray:
+        """What each token has: ``own`` by its place, or ``ending`` by the ending of a rare word."""
+        out = own[places]
         if rare:
-            units[rare_at] = self.others(rare)
-        return units, places, starts, rare
+            out[rare_at] = ending[self.buckets(rare)]
+        return out
 
     def packed(self) -> tuple:
-        return self.words, self.counts, self.head, self.endings, self.end_count, self.sent_units, self.placed_keys, self.placed_units, self.name
-
-
-def digest(word: bytes) -> int:
-    """64 bits of a word that are the same in every process."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return self.words, self.counts, self.head, self.endings, self.end_count, self.cls, self.ending_cls, self.name
 
 
 _lexicons: dict[str, Lexicon] = {}
@@ -148,19 +126,19 @@ def _lexicon(packed: tuple) -> Lexicon:
     return _lexicons[packed[-1]]
 
 
-def pair_counts(training: DataFrame, lexicon: Lexicon, cls: np.ndarray | None = None, classes: int = CLASSES) -> np.ndarray:
-    """How often each unit, or each class where ``cls`` gives the units' classes, follows each other one, over all training tokens."""
-    sc, n = training.sparkSession.sparkContext, lexicon.units if cls is None else classes
-    sent = sc.broadcast(lexicon.packed())
+def pair_counts(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """How often each unit follows each other one, over all training tokens."""
+    n = lexicon.units
+    sent = training.sparkSession.sparkContext.broadcast(lexicon.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, dense = _lexicon(sent.value), np.zeros(n * n, np.int64)
+        ending = known.head + 1 + np.arange(known.endings)
         for _, texts in _portions(batches):
-            units = known.stream(texts)[0]
-            before = np.append(known.head, units[:-1])
-            if cls is not None:
-                units, before = cls[units], cls[before]
-            dense += np.bincount(before * n + units, minlength=n * n)
+            places, _, rare_at, rare = known.places(texts)
+            units = known.of_all(known.unit, ending, places, rare_at, rare)
+            codes, many = np.unique(np.append(known.head, units[:-1]) * n + units, return_counts=True)
+            dense[codes] += many
         codes = np.flatnonzero(dense)
         for i in range(0, len(codes), 1 << 18):
             part = codes[i : i + (1 << 18)]
@@ -172,82 +150,167 @@ def pair_counts(training: DataFrame, lexicon: Lexicon, cls: np.ndarray | None =
     return out.reshape(n, n)
 
 
-def placements(training: DataFrame, lexicon: Lexicon, cls: np.ndarray, step: np.ndarray, size: np.ndarray, least: int) -> pa.Table:
-    """(place, key, bucket, cls) of every word outside the head that occurs ``least`` times or more.
+#: A context and how often it occurs. With n classes, a context is the class before a word (0 to n - 1), the class of a
+#: listed word after it (n more), or that of a rare word after it (2 n more).
+_CONTEXT = np.dtype([("c", "<u2"), ("n", "<u4")])
+
+
+class _Held:
+    """Contexts of words that a worker has seen, packed into one row for each word."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.held = width, [], 0
+
+    def add(self, ids: np.ndarray, contexts: np.ndarray) -> None:
+        self.parts.append(ids * self.width + contexts)
+        self.held += len(ids)
+
+    def rows(self, name) -> Iterator[pa.RecordBatch]:
+        """(word, found) of all that is held, which is then forgotten; ``name`` gives the words of the ids."""
+        if self.held:
+            codes, many = np.unique(np.concatenate(self.parts), return_counts=True)
+            first = np.flatnonzero(np.diff(codes // self.width, prepend=-1))
+            ends = np.append(first, len(codes))
+            flat = np.empty(len(codes), _CONTEXT)
+            flat["c"], flat["n"] = codes % self.width, many
+            words = name((codes[first] // self.width).tolist())
+            for i in range(0, len(words), 1 << 13):
+                yield _contexts(words[i : i + (1 << 13)], flat, ends[i : i + (1 << 13) + 1])
+        self.parts, self.held = [], 0
 
-    Its class is the one that makes the classes after it and its own occurrences likeliest: the sum over its contexts of
-    log P(class after | class) + log P(class | class before) / size of the class. Workers count the contexts of a portion
-    of words, and a word's contexts meet in one row; place is -1 for words outside the list, which have a digest as key.
+
+def _contexts(words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    part = flat[ends[0] : ends[-1]]
+    offsets = ((ends - ends[0]) * _CONTEXT.itemsize).astype(np.int32)
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(part.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), found], names=["word", "found"])
+
+
+def contexts(training: DataFrame, lexicon: Lexicon, classes: int, listed: bool) -> DataFrame:
+    """(word, found), the packed contexts of the listed words beyond the head, or of all rare ones; one row a word and portion.
+
+    With the rare words also come rows of END and a class: how often a listed word of each class follows a listed word of
+    that one. So with the rare words' contexts every pair of tokens is counted once.
     """
-    sc, n = training.sparkSession.sparkContext, len(size)
-    sent = sc.broadcast(lexicon.packed())
-    after = np.log(np.maximum(step, 1e-300))
-    before = np.log(np.maximum(step, 1e-300)).T - np.log(np.maximum(size, 0.5))[:, None]
-    # One row for each class: what a context on the left (first n) and on the right adds to it.
-    adds = np.hstack([before, after])
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lexicon(sent.value)
-        listed = max(len(known.words) - known.head, 0)
-        dense, others, held = np.zeros((listed, 2 * n), np.int32), defaultdict(list), 0
+    sent = training.sparkSession.sparkContext.broadcast(lexicon.packed())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, ids, table = _lexicon(sent.value), _Held(3 * classes), {}, np.zeros(classes * classes, np.int64)
+        name = (lambda at: [known.words[known.head + i] for i in at]) if listed else (lambda at: list(map(list(ids).__getitem__, at)))
         for _, texts in _portions(batches):
-            units, places, _, rare = known.stream(texts)
-            c = cls[units]
-            left, right = np.append(cls[known.head], c[:-1]), np.append(c[1:], cls[known.head])
-            at = np.flatnonzero((places >= known.head) & (places < len(known.words)))
-            np.add.at(dense, (places[at] - known.head, left[at]), 1)
-            np.add.at(dense, (places[at] - known.head, right[at] + n), 1)
-            at = np.flatnonzero(places < 0)
-            for w, x, y in zip(rare, left[at].tolist(), (right[at] + n).tolist()):
-                others[w] += (x, y)
-            held += len(rare)
-            if held > COUNTED:
-                yield _contexts(list(others), [len(x) for x in others.values()], list(chain.from_iterable(others.values())), 1)
-                others, held = defaultdict(list), 0
-        yield _contexts(list(others), [len(x) for x in others.values()], list(chain.from_iterable(others.values())), 1)
-        for i in range(0, listed, 1 << 13):
-            part = dense[i : i + (1 << 13)]
-            lengths = np.count_nonzero(part, axis=1)
-            here = np.flatnonzero(lengths)
-            yield _contexts([known.words[known.head + i + j] for j in here.tolist()], lengths[here], np.nonzero(part)[1], part[part > 0])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lexicon(sent.value)
-        for b in batches:
-            words, found = b.column("word").to_pylist(), [b"".join(x) for x in b.column("found").to_pylist()]
-            flat = np.frombuffer(b"".join(found), _CONTEXT)
-            counts = np.zeros((b.num_rows, 2 * n))
-            np.add.at(counts, (np.repeat(np.arange(b.num_rows), [len(x) // _CONTEXT.itemsize for x in found]), flat["c"]), flat["n"])
-            best = np.argmax(counts @ adds.T, axis=1)
+            places, _, rare_at, rare = known.places(texts)
+            cls = known.of_all(known.cls, known.ending_cls, places, rare_at, rare)
+            left, seen = np.append(known.cls[-1], cls[:-1]), places >= 0
+            if listed:
+                at = np.flatnonzero((places >= known.head) & (places < len(known.words)))
+                who = places[at] - known.head
+            else:
+                at, who = rare_at, np.array([ids.setdefault(w, len(ids)) for w in rare], np.int64)
+                table += np.bincount((left * classes + cls)[seen & np.append(True, seen[:-1])], minlength=classes * classes)
+            held.add(who, left[at])
+            held.add(who, cls[at + 1] + np.where(seen[at + 1], classes, 2 * classes))
+            if held.held > HELD or len(ids) > COUNTED:
+                yield from held.rows(name)
+                ids.clear()
+        yield from held.rows(name)
+        for c, row in enumerate(table.reshape(classes, classes)):
+            to = np.flatnonzero(row)
+            if len(to):
+                flat = np.empty(len(to), _CONTEXT)
+                flat["c"], flat["n"] = to, row[to]
+                yield _contexts([END + bytes([c])], flat, np.array([0, len(to)]))
+
+    return training.mapInArrow(run, "word binary, found binary")
+
+
+def _merged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and the counts of their contexts, from rows sorted by word; however many rows a word has, one sum is held."""
+    word, held = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        words, found = b.column(0).to_pylist(), b.column(1).to_pylist()
+        new = np.array([True, *(x != y for x, y in zip(words, words[1:]))])
+        group = np.cumsum(new) - 1
+        names = [words[i] for i in np.flatnonzero(new).tolist()]
+        flat = np.frombuffer(b"".join(found), _CONTEXT)
+        at = np.repeat(group, [len(x) // _CONTEXT.itemsize for x in found]) * width + flat["c"]
+        counts = np.bincount(at, weights=flat["n"], minlength=len(names) * width).reshape(-1, width)
+        if word == names[0]:
+            counts[0] += held
+        elif word is not None:
+            yield [word], held[None]
+        word, held = names[-1], counts[-1].copy()
+        if len(names) > 1:
+            yield names[:-1], counts[:-1]
+    if word is not None:
+        yield [word], held[None]
+
+
+def _chooser(step: np.ndarray, size: np.ndarray):
+    """Gives each row of contexts the class that makes the classes after the word and its own occurrences likeliest.
+
+    That is the sum over its contexts of log P(class after | class) + log P(class | class before) / size of the class.
+    """
+    n, flow = len(size), np.log(np.maximum(step, 1e-300))
+    before = flow.T - np.log(np.maximum(size, 0.5))[:, None]
+    return lambda counts: np.argmax(counts[:, :n] @ before.T + (counts[:, n : 2 * n] + counts[:, 2 * n :]) @ flow.T, axis=1)
+
+
+def place_listed(training: DataFrame, lexicon: Lexicon, step: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """The classes of the listed words and END after the words beyond the head have moved by their contexts."""
+    n, choose = len(size), _chooser(step, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, counts in _merged(batches, 3 * n):
             # A word has as many contexts on its left as it occurs.
             kept = np.flatnonzero(counts[:, :n].sum(axis=1) >= least)
-            words, best = [words[i] for i in kept.tolist()], best[kept]
-            places = [known.place.get(w, -1) for w in words]
-            columns = [places, [digest(w) for w in words], [known.bucket(w) for w in words], best]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["place", "key", "bucket", "cls"])
+            best = choose(counts[kept]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in kept.tolist()], pa.binary()), pa.array(best)], names=["word", "cls"])
 
-    rows = training.mapInArrow(contexts, "word binary, found binary").groupBy("word").agg(F.collect_list("found").alias("found"))
-    return rows.mapInArrow(choose, "place bigint, key bigint, bucket bigint, cls bigint").toArrow()
+    rows = contexts(training, lexicon, n, True).repartition("word").sortWithinPartitions("word")
+    moved, cls = rows.mapInArrow(run, "word binary, cls int").toArrow(), lexicon.cls.copy()
+    cls[[lexicon.place[w] for w in moved["word"].to_pylist()]] = moved["cls"].to_numpy()
+    return cls
 
 
-#: A context, the class and n more on the right, and how often it occurs.
-_CONTEXT = np.dtype([("c", "<u2"), ("n", "<u4")])
+def place_rare(training: DataFrame, lexicon: Lexicon, step: np.ndarray, size: np.ndarray, least: int) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, cls) of every word outside the list, written, and the counts of all pairs of classes.
 
+    Words that occur ``least`` times or more move by their contexts, rarer ones have the class of their ending. Where a rare
+    word follows a rare one, the first counts with the class of its ending.
+    """
+    n, choose = len(size), _chooser(step, size)
+    endings = lexicon.ending_cls
 
-def _contexts(words: list[bytes], lengths, c, n) -> pa.RecordBatch:
-    """A row for each word with its packed contexts: ``lengths`` of them for each word, one word after the other."""
-    flat = np.empty(len(c), _CONTEXT)
-    flat["c"], flat["n"] = c, n
-    ends = np.append(0, np.cumsum(lengths, dtype=np.int64)) * _CONTEXT.itemsize
-    found = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), found], names=["word", "found"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((n, n), np.int64)
+        for words, counts in _merged(batches, 3 * n):
+            pairs = np.array([w[:1] == END for w in words])
+            for i in np.flatnonzero(pairs).tolist():
+                table[words[i][1]] += counts[i, :n].astype(np.int64)
+            words, counts = [w for w in words if w[:1] != END], counts[~pairs]
+            many = counts[:, :n].sum(axis=1).astype(np.int64)
+            own = endings[np.array([zlib.crc32(w[-3:]) % len(endings) for w in words], np.int64)]
+            best = np.where(many >= least, choose(counts), own)
+            np.add.at(table.T, best, counts[:, :n].astype(np.int64))
+            np.add.at(table, best, counts[:, n : 2 * n].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(many), pa.array(best, pa.int32()), pa.nulls(len(words), pa.list_(pa.int64()))], names=["word", "n", "cls", "pairs"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([table.reshape(-1)], pa.list_(pa.int64()))], names=["word", "n", "cls", "pairs"])
+
+    rows = contexts(training, lexicon, n, False).repartition("word").sortWithinPartitions("word")
+    rows = written(rows.mapInArrow(run, "word binary, n bigint, cls int, pairs array<bigint>"), "lm-words")
+    table = np.zeros(n * n)
+    for r in rows.where("word is null").select(F.posexplode("pairs").alias("at", "c")).groupBy("at").agg(F.sum("c").alias("c")).collect():
+        table[r["at"]] = r["c"]
+    return rows.where("word is not null").drop("pairs"), table.reshape(n, n)
 
 
 def _steps(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed transitions of the classes, and their sizes."""
-    size = table.sum(axis=1)
+    """Smoothed transitions of the classes, and their sizes: each token is once the second of a pair."""
+    size = table.sum(axis=0)
     share = size / max(size.sum(), 1)
-    return (table + PSEUDO * share) / (size[:, None] + PSEUDO), size
+    return (table + PSEUDO * share) / (table.sum(axis=1)[:, None] + PSEUDO), size
 
 
 def _h(x: np.ndarray) -> np.ndarray:
@@ -305,10 +368,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
 
 @dataclass
 class Model:
-    """Classes of units, transitions divided by the smoothed size of the class they lead to, and the unigram's N and V."""
+    """Listed words with their classes, transitions divided by the smoothed size of the class they lead to, and the unigram's N and V."""
 
     lexicon: tuple
-    cls: np.ndarray
     weight: np.ndarray
     tokens: int
     types: int
@@ -323,46 +385,47 @@ class Model:
         return (1 - self.mixed) * weight * (counts + 0.5) + self.mixed * base * known
 
 
-def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, endings: int = ENDINGS, classes: int = CLASSES, sent_words: int = SENT_WORDS, least: int = LEAST) -> Model:
-    """The model from all training texts (column ``_text``) and their word counts."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
+def _listed(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """About ``most`` words, never more, from the most frequent on, with their counts.
+
+    Whole levels of counts are taken, an eighth of an octave each, as long as they fit, so that no task sorts for all; of
+    the level that no longer fits, the part whose hash is low enough.
+    """
     words = counts.where(F.col("word") != F.lit(END)).withColumn("level", F.floor(F.log2("n") * 8))
-    # Whole levels of counts, an eighth of an octave each, from the top as long as they fit: no task sorts for all.
-    level, room = None, sent_words
+    wanted, room = F.lit(False), most
     for r in sorted(words.groupBy("level").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["level"]):
         if r["c"] > room:
+            # Six standard deviations below the room that is left.
+            share = max(0.0, room - 6 * room**0.5) / r["c"]
+            low = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+            wanted = wanted | ((F.col("level") == r["level"]) & low)
             break
-        level, room = r["level"], room - r["c"]
-    top = words.where(F.col("level") >= F.lit(level)).select("word", "n").toArrow().to_pylist()
-    top.sort(key=lambda r: (-r["n"], r["word"]))
-    lexicon = Lexicon([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), head, endings, int(total["e"] or 0))
+        wanted, room = wanted | (F.col("level") == r["level"]), room - r["c"]
+    top = words.where(wanted).select("word", "n").toArrow().to_pylist()
+    return sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda r: (-r[1], r[0]))
+
+
+def fit(training: DataFrame, counts: DataFrame, head: int = HEAD, endings: int = ENDINGS, classes: int = CLASSES, sent_words: int = SENT_WORDS, least: int = LEAST) -> tuple[Model, DataFrame]:
+    """The model from all training texts (column ``_text``) and their word counts, and the table (word, n, cls) of the rare words."""
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("e")).first()
+    top = _listed(counts, sent_words)
+    lexicon = Lexicon([w for w, _ in top], np.array([n for _, n in top], np.int64), head, endings, int(total["e"] or 0))
     pairs = pair_counts(training, lexicon)
     cls = exchange(pairs, classes)
     table = np.zeros((classes, classes))
     np.add.at(table, (cls[:, None], cls[None, :]), pairs)
-    placed = placements(training, lexicon, cls, *_steps(table), least)
-    place, key, buckets, into = (placed[c].to_numpy() for c in ("place", "key", "bucket", "cls"))
-    units = lexicon.units + into
-    sent_units = np.full(len(lexicon.words) + 1, -1, np.int64)
-    sent_units[place[place >= 0]] = units[place >= 0]
-    order = np.argsort(key[place < 0])
-    lexicon = Lexicon(*lexicon.packed()[:5], sent_units, key[place < 0][order], units[place < 0][order])
-    cls = np.append(cls, np.arange(classes))
-    # The classes changed, so their transitions are counted again.
-    step, size = _steps(pair_counts(training, lexicon, cls, classes))
-    # Distinct words of each class: head words and END are units of one word, a placed word leaves its bucket for its class.
-    bucket = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(endings)).cast("int")
-    types = np.zeros(lexicon.units + classes)
-    types[: min(head, len(lexicon.words))] = 1
-    types[head] = lexicon.end_count > 0
-    for r in counts.where(F.col("word") != F.lit(END)).groupBy(bucket.alias("b")).count().collect():
-        types[head + 1 + r["b"]] = r["count"]
-    for w in lexicon.words[:head]:
-        types[lexicon.bucket(w)] -= 1
-    np.subtract.at(types, buckets, 1)
-    np.add.at(types, units, 1)
-    kinds = np.bincount(cls, types, classes)
-    return Model(lexicon.packed(), cls, step / (size + 0.5 * (kinds + 1)), int(total["n"] or 0), int(total["v"]), MIXED, classes)
+    step, size = _steps(table)
+    # From here on the list has classes; the rest of the vocabulary has those of its endings until it is placed.
+    known = [*lexicon.packed()[:5], cls[lexicon.unit], cls[head + 1 :]]
+    lexicon = Lexicon(*known)
+    known[5] = place_listed(training, lexicon, step, size, least)
+    lexicon = Lexicon(*known)
+    rare, table = place_rare(training, lexicon, step, size, least)
+    step, size = _steps(table)
+    kinds = np.bincount(lexicon.cls[: len(lexicon.words) + (lexicon.end_count > 0)], minlength=classes).astype(float)
+    for r in rare.groupBy("cls").count().collect():
+        kinds[r["cls"]] += r["count"]
+    return Model(lexicon.packed(), step / (size + 0.5 * (kinds + 1)), int(total["n"] or 0), int(total["v"]), MIXED, classes), rare
 
 
 def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
@@ -371,63 +434,81 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     A token's probability is (1 - MIXED) * P(class | class before) * P(word | class) + MIXED * unigram. Emissions and
     unigram are smoothed by half a count, over the known words of the class or of all and one unknown, so both parts
     sum to one; an unknown word takes the class of its ending and an equal share of the unknown. All training tokens
-    are counted: the ``HEAD`` most frequent words are clustered each for itself, every other word that occurs ``LEAST``
-    times is placed into one of the classes by the classes around it, and only rarer ones take the class of their last
-    three bytes, so the clustered vocabulary grows with the input. Words beyond ``SENT_WORDS`` get their exact counts by
-    a join.
+    are counted. The ``HEAD`` most frequent words are exchanged one by one over the pairs of all tokens; then every
+    other word that occurs ``LEAST`` times moves to the class that its contexts make likeliest, all at once, and only
+    rarer ones keep the class of their last three bytes: the clustered vocabulary grows with the input. Only the
+    ``SENT_WORDS`` most frequent words are known to every worker; counts and classes of the rest are a table, which the
+    rare tokens are joined with, so nothing that is sent out grows with the vocabulary.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. Null text counts as empty and
     has one token, its end. Repeated rows stay rows and are learned from as often; null ids hash as the empty text.
-    Other columns are ignored. Without training texts every count is zero. An empty table gives an empty result.
+    Other columns are ignored, whatever their names. Without training texts every count is zero. An empty table gives an
+    empty result. Texts of any length are scored whole; a text's rare tokens may be summed up in several tasks.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("_id"), held_out(docs[id_col], folds).alias("held_out"), text_of(docs, text_col).alias("_text"))
     training = rows.where("not held_out").select("_text")
     counts = written(word_counts(training), "lm-counts")
-    model = fit(training, counts, **sizes)
+    model, words = fit(training, counts, **sizes)
+    forget(counts)
     sent = spark.sparkContext.broadcast(model)
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind, n = rows.schema["_id"].dataType.simpleString(), model.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         known = _lexicon(m.lexicon)
         for b, texts in _portions(batches):
-            units, places, starts, rare = known.stream(texts)
-            cls = m.cls[units]
-            before = np.append(m.cls[known.head], cls[:-1])
-            weight = m.weight[before, cls]
-            seen = places >= 0
-            count = known.count[np.where(seen, places, 0)]
+            places, starts, at, rare = known.places(texts)
+            seen, cls = places >= 0, known.cls[places]
+            count = known.count[places]
+            after = np.append(True, seen[:-1])
+            before = np.append(known.cls[-1], cls[:-1])
             base = m.base(count)
-            lone, mixed = np.where(seen, np.log10(base), 0), np.where(seen, np.log10(m.both(weight, count, base, 1.0)), 0)
-            lengths = np.diff(np.append(starts, len(units)))
-            ends = np.cumsum(np.add.reduceat((~seen).astype(np.int64), starts))
-            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            lone = np.where(seen, np.log10(base), 0)
+            mixed = np.where(seen & after, np.log10(m.both(m.weight[before, cls], count, base, 1.0)), 0)
+            rare_ends = np.cumsum(np.add.reduceat((~seen).astype(np.int64), starts))
+            pair_ends = np.cumsum(np.add.reduceat((~seen & ~after).astype(np.int64), starts))
+            # A rare word goes with the class before it and the listed word after it; two in a row also go as a pair.
+            left, follows = np.where(after, before, -1)[at], seen[at + 1]
+            words, second = pa.array(rare, pa.binary()), np.flatnonzero(~after[at])
+            one = [words, pa.array(left, pa.int16()), pa.array(np.where(follows, cls[at + 1], -1), pa.int16()), pa.array(np.where(follows, count[at + 1], 0))]
+            two = [words.take(pa.array(second - 1)), words.take(pa.array(second))]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     b.column(1),
-                    pa.array(lengths),
+                    pa.array(np.diff(np.append(starts, len(places)))),
                     pa.array(np.add.reduceat((seen & (count > 0)).astype(np.int64), starts)),
                     pa.array(np.add.reduceat(lone, starts)),
                     pa.array(np.add.reduceat(mixed, starts)),
-                    pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array(weight[~seen], pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, rare_ends).astype(np.int32)), pa.StructArray.from_arrays(one, names=["word", "l", "r", "k"])),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, pair_ends).astype(np.int32)), pa.StructArray.from_arrays(two, names=["first", "word"])),
                 ],
-                names=["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "weight"],
+                names=["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "pairs"],
             )
 
-    parts = rows.mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<binary>, weight array<double>")
-    parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "lm-parts")
-    rare = parts.select("_row", F.explode(F.arrays_zip("rare", "weight")).alias("r")).select("_row", F.col("r.rare").alias("word"), F.col("r.weight").alias("w"))
-    joined = rare.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    base = model.base(F.col("c"))
-    known = F.when(F.col("c") > 0, 1.0).otherwise(1.0 / model.classes)
-    sums = joined.select("_row", (F.col("c") > 0).cast("long").alias("k"), F.log10(base).alias("b"), F.log10(model.both(F.col("w"), F.col("c"), base, known)).alias("s"))
-    sums = sums.groupBy("_row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    whole = parts.drop("rare", "weight").join(sums, "_row", "left")
+    shape = "n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,l:smallint,r:smallint,k:bigint>>, pairs array<struct<first:binary,word:binary>>"
+    parts = written(rows.mapInArrow(run, f"_id {kind}, held_out boolean, {shape}").withColumn("_row", F.monotonically_increasing_id()), "lm-parts")
+    endings, weights = F.lit(Lexicon(*model.lexicon).ending_cls.tolist()), F.lit(model.weight.reshape(-1).tolist())
+    ending = lambda word: F.get(endings, F.pmod(F.crc32(F.substring(word, -3, 3)), F.lit(model.lexicon[3])).cast("int")).cast("int")
+    weight = lambda a, b: F.get(weights, (a.cast("int") * n + b.cast("int")))
     zero = F.lit(0.0)
+
+    rare = parts.select("_row", F.inline("rare")).join(words, "word", "left")
+    rare = rare.select("_row", "l", "r", "k", F.coalesce("n", F.lit(0)).alias("c"), F.coalesce("cls", ending(F.col("word"))).alias("cls"))
+    known = F.when(F.col("c") > 0, 1.0).otherwise(1.0 / n)
+    own = F.when(F.col("l") >= 0, F.log10(model.both(weight(F.col("l"), F.col("cls")), F.col("c"), model.base(F.col("c")), known))).otherwise(zero)
+    following = F.when(F.col("r") >= 0, F.log10(model.both(weight(F.col("cls"), F.col("r")), F.col("k"), model.base(F.col("k")), F.lit(1.0)))).otherwise(zero)
+    single = rare.select("_row", (F.col("c") > 0).cast("long").alias("k"), F.log10(model.base(F.col("c"))).alias("b"), (own + following).alias("s"))
+
+    firsts = words.select(F.col("word").alias("first"), F.col("cls").alias("first_cls"))
+    pairs = parts.select("_row", F.inline("pairs")).join(words, "word", "left").join(firsts, "first", "left")
+    pairs = pairs.select("_row", F.coalesce("n", F.lit(0)).alias("c"), F.coalesce("cls", ending(F.col("word"))).alias("cls"), F.coalesce("first_cls", ending(F.col("first"))).alias("first_cls"))
+    double = pairs.select("_row", F.lit(0).cast("long").alias("k"), zero.alias("b"), F.log10(model.both(weight(F.col("first_cls"), F.col("cls")), F.col("c"), model.base(F.col("c")), known)).alias("s"))
+
+    sums = single.unionByName(double).groupBy("_row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    whole = parts.drop("rare", "pairs").join(sums, "_row", "left")
     out = whole.select(
         F.col("_id").alias(id_col),
         "held_out",

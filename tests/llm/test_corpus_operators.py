@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lintarium.llm import bpe, brown, exact_dedup, mixing, quality, sharding, simhash, token_counts, toxicity, warc
+from lintarium.llm import bpe, brown, common, exact_dedup, mixing, quality, sharding, simhash, token_counts, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, size int, word string"
 
@@ -72,25 +72,73 @@ def test_brown(docs, rows, none):
     assert brown.score(none).count() == 0
 
 
+def _brown_classes(model, rare):
+    """Class of a word, by the list, the table of rare words, or the ending."""
+    lexicon = brown.Lexicon(*model.lexicon)
+    placed = {bytes(r["word"]): r["cls"] for r in rare.collect()}
+    assert not placed.keys() & set(lexicon.words)
+
+    def of(word):
+        if word in lexicon.place:
+            return int(lexicon.cls[lexicon.place[word]])
+        return placed.get(word, int(lexicon.ending_cls[lexicon.buckets([word])[0]]))
+
+    return of
+
+
 def test_brown_probabilities_sum_to_one(spark):
     words = [f"a{i}" for i in range(12)]
     rng = random.Random(5)
     texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(40)]
     train = spark.createDataFrame([(t,) for t in texts], "_text string")
     counts = brown.word_counts(train)
-    m = brown.fit(train, counts, head=4, endings=4, classes=3, sent_words=6)
-    lexicon = brown.Lexicon(*m.lexicon)
+    m, rare = brown.fit(train, counts, head=4, endings=4, classes=3, sent_words=6)
+    of = _brown_classes(m, rare)
     known = {bytes(r["word"]): r["n"] for r in counts.collect()}
     for before in range(3):
         total = 0.0
         for w, c in known.items():
-            unit = lexicon.head if w == brown.END else lexicon.place[w] if lexicon.place.get(w, 99) < lexicon.head else lexicon.ending(w)
-            total += m.both(m.weight[before, m.cls[unit]], c, m.base(c), 1.0)
+            total += m.both(m.weight[before, of(w)], c, m.base(c), 1.0)
         for k in range(3):
             total += m.both(m.weight[before, k], 0, m.base(0), 1 / 3)
         assert total == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("sent_words", [300, 50, 0])
+def test_brown_score_matches_a_plain_computation(docs, rows, sent_words):
+    """Pairs of classes, emissions and scores from the words' classes alone, with lists of several lengths."""
+    sizes = {"head": 20, "endings": 8, "classes": 5, "sent_words": sent_words, "least": 3}
+    train = docs.where(~common.held_out(docs["doc_id"], 5)).select(common.text_of(docs, "text").alias("_text"))
+    m, rare = brown.fit(train, brown.word_counts(train), **sizes)
+    of, lexicon = _brown_classes(m, rare), brown.Lexicon(*m.lexicon)
+    assert len(lexicon.words) <= sent_words
+    tokens = lambda t: [*(w.lower() for w in _words(t)), brown.END]
+    counts, table = Counter(), np.zeros((5, 5))
+    for r in rows:
+        if not _fold(r[0], 5):
+            here = tokens(r[1])
+            counts.update(here)
+            for p, w in zip([brown.END, *here], here):
+                # A rare word before a rare one still counts with the class of its ending.
+                early = p not in lexicon.place and w not in lexicon.place
+                table[lexicon.ending_cls[lexicon.buckets([p])[0]] if early else of(p), of(w)] += 1
+    kinds = np.bincount([of(w) for w in counts], minlength=5)
+    size, n = table.sum(axis=0), sum(counts.values())
+    step = (table + brown.PSEUDO * size / n) / (table.sum(axis=1)[:, None] + brown.PSEUDO)
+    want = []
+    for r in rows:
+        here, total = tokens(r[1]), 0.0
+        for p, w in zip([brown.END, *here], here):
+            c = counts[w]
+            emission = (c + 0.5) / (size[of(w)] + 0.5 * (kinds[of(w)] + 1))
+            share = 1.0 if c else 1 / 5
+            total += math.log10((1 - brown.MIXED) * step[of(p), of(w)] * emission + brown.MIXED * (c + 0.5) / (n + 0.5 * (len(counts) + 1)) * share)
+        want.append((str(r[0]), len(here), total))
+    got = [(str(r["doc_id"]), r["n_tokens"], r["score"]) for r in brown.score(docs, **sizes).collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
 def test_brown_places_words_beyond_the_head_by_their_contexts(spark):
     rng = random.Random(8)
     # Two kinds of words that take turns; endings say nothing of the kind, and most words aren't among the eight of the head.
@@ -98,14 +146,21 @@ def test_brown_places_words_beyond_the_head_by_their_contexts(spark):
     pick = lambda ws: ws[min(int(rng.expovariate(0.15)), 59)]
     train = spark.createDataFrame([(" ".join(pick(kinds[j % 2]) for j in range(40)),) for _ in range(200)], "_text string")
     counts = brown.word_counts(train)
-    m = brown.fit(train, counts, head=8, endings=4, classes=3, sent_words=20)
-    lexicon = brown.Lexicon(*m.lexicon)
-    assert len(lexicon.words) <= 20
+    m, rare = brown.fit(train, counts, head=8, endings=4, classes=3, sent_words=20)
+    of = _brown_classes(m, rare)
+    assert len(brown.Lexicon(*m.lexicon).words) <= 20
     often = [r["word"].decode() for r in counts.where("n >= 10").collect() if bytes(r["word"]) != brown.END]
-    found = {k: {int(m.cls[lexicon.place[w.encode()] if lexicon.place.get(w.encode(), 99) < 8 else lexicon.ending(w.encode())]) for w in often if w[0] == k} for k in "pq"}
+    found = {k: {of(w.encode()) for w in often if w[0] == k} for k in "pq"}
     assert len(often) > 40 and not found["p"] & found["q"]
 
 
+def test_brown_merges_rows_of_a_word_across_batches():
+    flat = np.array([(0, 2), (4, 1), (1, 5), (0, 7)], brown._CONTEXT)
+    batches = [brown._contexts([b"a", b"b"], flat[:3], np.array([0, 2, 3])), brown._contexts([b"b"], flat[3:], np.array([0, 1])), brown._contexts([], flat[:0], np.array([0]))]
+    got = {w: c.tolist() for words, counts in brown._merged(iter(batches), 6) for w, c in zip(words, counts)}
+    assert got == {b"a": [2, 0, 0, 0, 1, 0], b"b": [7, 5, 0, 0, 0, 0]}
+
+
 def test_exchange_finds_two_kinds_of_words():
     pairs = np.zeros((8, 8))
     for a in range(4):
