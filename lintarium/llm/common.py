@@ -23,12 +23,14 @@ LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a local session) a folder of this machine is made for it.
+    Only where that setting is absent and the session is local (tests, interactive use) a folder of this machine is made for it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not kept.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintarium-"))
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get()
@@ -102,6 +104,14 @@ def held_out(id_col: Column, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")) % folds == 1
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words, on the JVM."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

@@ -8,32 +8,6 @@ from pyspark.sql import functions as F
 from lintarium.llm.common import forget, written
 
 
-class Forest:
-    """Union-find that tells which edges join two trees; emptied when large, after which it may tell more than needed."""
-
-    def __init__(self, most: int = 1_000_000):
-        self.up: dict[int, int] = {}
-        self.most = most
-
-    def root(self, x: int) -> int:
-        up = self.up
-        top = x
-        while (p := up.get(top, top)) != top:
-            top = p
-        while x != top:
-            up[x], x = top, up.get(x, x)
-        return top
-
-    def joins(self, a: int, b: int) -> bool:
-        if len(self.up) > self.most:
-            self.up.clear()
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over (u, v): u's neighbours are hung on the least of them and u.
 

@@ -8,14 +8,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintarium.llm.common import forget, ship, text_of, written
-from lintarium.llm.components import Forest, components
+from lintarium.llm.common import forget, fresh, ship, text_of, written
+from lintarium.llm.components import components
 
-#: Radius; words of a shingle; rows of a bucket up to which its pairs are compared. Larger buckets go by whole balls.
-RADIUS, SHINGLE, PAIRED = 3, 3, 64
+#: Radius; words of a shingle.
+RADIUS, SHINGLE = 3, 3
 _SEED = 42
 
 
@@ -39,108 +39,60 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every document, fp as a signed 64-bit number; null text counts as empty."""
+    """(_id, _digest, fp) of every document: its text's MD5, and fp as a signed 64-bit number; null text counts as empty."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_text"))
+    text = text_of(docs, text_col)
+    rows = docs.select(docs[id_col].alias("_id"), F.md5(text).alias("_digest"), text.alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["_id", "fp"])
+            found = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["_id", "_digest", "fp"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, fp bigint").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _digest string, fp bigint")
 
 
-def _edges_of(pairs: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
-    return [(a, b) for a, b in np.unique(pairs, axis=0).tolist() if forest.joins(a, b)] if len(pairs) else []
-
-
-def _out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["u", "v"])
-
-
-def _compare(radius: int):
-    """Over rows (key, fp) sorted by key: links within the radius inside each key, as a forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, key, fp = Forest(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in _with_end(batches):
-            if b is not None:
-                key, fp = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((fp, b.column(1).to_numpy()))
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
-            else:
-                done = len(key)
-            k, f = key[:done], fp[:done]
-            key, fp = key[done:], fp[done:]
-            links = []
-            for lag in range(1, len(k)):
-                same = k[lag:] == k[:-lag]
-                if not same.any():
-                    break
-                a, c = f[:-lag][same], f[lag:][same]
-                near = np.bitwise_count((a ^ c).view(np.uint64)) <= radius
-                links.append(np.stack((a[near], c[near]), axis=1))
-            yield _out(_edges_of(np.concatenate(links), forest) if links else [])
-
-    return run
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
-def _hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (variant, far, fp) sorted: where the first is near, it is within the radius of all others of the variant."""
-    forest, last, first, near = Forest(), None, 0, False
-    for b in batches:
-        v, far, fp = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-        if not len(v):
-            continue
-        new = np.concatenate(([last is None or v[0] != last], v[1:] != v[:-1]))
-        at = np.maximum.accumulate(np.where(new, np.arange(len(v)), -1))
-        heads = np.where(at >= 0, fp[at], first)
-        ok = np.where(at >= 0, far[at] == 0, near) & (heads != fp)
-        last, first, near = v[-1], int(heads[-1]), bool(far[at[-1]] == 0 if at[-1] >= 0 else near)
-        yield _out(_edges_of(np.stack((heads[ok], fp[ok]), axis=1), forest))
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that join exactly those within ``radius`` bits, directly or by steps.
 
-    Of two fingerprints within 3 bits, one 32-bit half differs in at most one bit, so there half the radius, rounded
-    down, is enough on one side: for each half a fingerprint emits itself and, for every set bit, the half without
-    it. Two such halves collide where one is the other or lacks one of its bits. A bucket needs two rows, one of
-    them unchanged. In buckets of up to ``paired`` rows all pairs are compared on all 64 bits. The fingerprints of
-    larger buckets, which come from crowds of near copies, emit their whole balls among themselves: all variants
-    within 2 bits. A variant has at most 2,081 fingerprints around it, and one that is within 1 bit of it is within 3
-    of every other, so each is hung on that one without comparing pairs. Both ways are exact, and no pairs are emitted.
+    Every fingerprint emits its ball of radius 1, all 65 variants. That is half the radius, rounded down, and meets for
+    pairs within 2 bits. Fingerprints at 3 bits have ones of different parity, so there one side must go 2 bits, half the
+    radius rounded up, and it is the side with an odd number of ones. Of three bits two lie in the same half of the 64,
+    so of the pairs of bits only the 992 inside a half are needed. Variants are shuffled; where some fingerprint is within
+    1 bit of a variant, all others of the variant, which are within 2, are within the radius of it and are hung on the
+    least such one. So each collision is a link without comparing pairs, a variant has at most some thousand distinct
+    fingerprints around it, and the method is the same for crowds and for single texts. ``nodes`` holds distinct ``fp``.
     """
     if radius != 3:
-        raise ValueError("the halves and balls are made for a radius of 3")
-    ship(nodes.sparkSession)
-    halves = nodes.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("h"))
-    halves = halves.withColumn("half", F.when(F.col("h") == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32)))
-    bits = halves.select("fp", "h", "half", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])).alias("bit"))
-    bits = bits.where((F.col("bit") == 0) | (F.col("half").bitwiseAND(F.col("bit")) != 0))
-    rows = bits.select((F.col("half") - F.col("bit") + F.col("h") * F.lit(1 << 32)).alias("key"), "fp", (F.col("bit") == 0).alias("own"))
-
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select(F.col("key").alias("k"), "n")
-    buckets = written(buckets, "simhash-buckets")
-    busy = written(rows.select("key", "fp").join(buckets, F.col("key") == F.col("k")).select("key", "fp", "n"), "simhash-busy")
-    small = busy.where(F.col("n") <= paired).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    few = small.mapInArrow(_compare(radius), "u bigint, v bigint")
-
-    crowd = busy.where(F.col("n") > paired).select("fp").distinct()
+        raise ValueError("the balls are made for a radius of 3")
     near = [0, *[1 << i for i in range(64)]]
-    wide = [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
+    wide = [(1 << i) | (1 << j) for h in (0, 32) for i, j in combinations(range(h, h + 32), 2)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    balls = crowd.withColumn("masks", F.lit([signed(x) for x in near + wide]).cast("array<bigint>"))
-    balls = balls.select("fp", F.posexplode("masks").alias("i", "mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("v"), F.when(F.col("i") <= 64, 0).otherwise(1).alias("far"), "fp")
-    many = balls.repartition("v").sortWithinPartitions("v", "far", "fp").mapInArrow(_hang, "u bigint, v bigint")
-    out = written(few.unionByName(many), "simhash-links")
-    forget(buckets, busy)
-    return out
+    masks = lambda xs: F.lit([signed(x) for x in xs]).cast("array<bigint>")
+    odd = F.bit_count("fp").bitwiseAND(F.lit(1)) == 1
+    balls = nodes.select("fp", F.explode(F.when(odd, masks(near + wide)).otherwise(masks(near))).alias("mask"))
+    rows = balls.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("v"), "fp")
+    is_near = F.bit_count(F.col("v").bitwiseXOR(F.col("fp"))) <= 1
+    hung = rows.withColumn("u", F.min(F.when(is_near, F.col("fp"))).over(Window.partitionBy("v"))).where("u <> fp").select("u", F.col("fp").alias("v"))
+    return written(hung.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct(), "simhash-links")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _digest, fp) of every row, written, and (f, best) of every fingerprint, where ``best`` is the row that its component goes by.
+
+    That is the row with the least id and, among rows that share it, the least digest of the text.
+    """
+    prints = written(fingerprints(docs, id_col, text_col), "simhash")
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_digest").alias("digest")))
+    nodes = written(prints.groupBy("fp").agg(least.alias("least")), "simhash-nodes")
+    edges = links(nodes.select("fp"))
+    groups = components(edges)
+    placed = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = written(placed, "simhash-placed")
+    roots = written(placed.groupBy("root").agg(F.min("least").alias("best")).withColumnRenamed("root", "r"), "simhash-roots")
+    ids = written(placed.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "best"), "simhash-ids")
+    forget(nodes, edges, placed, roots)
+    return prints, ids
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,33 +101,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z is lower-cased; fingerprints of 3-word shingles link at 3 or fewer differing bits; component_id is the smallest
     id that is reachable. Null and empty texts have fingerprint zero, which links like any other. Repeated rows stay
     rows of one component; null ids are never the smallest. An empty table gives an empty result; other columns are
-    ignored. Equal fingerprints are one node, so copies cost nothing after the first pass.
+    ignored, whatever their names. Equal fingerprints are one node, so copies cost nothing after the first pass.
     """
-    prints = written(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "_id"), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("_id").alias("least")), "simhash-nodes")
-    edges = links(nodes)
-    groups = components(edges)
-    placed = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = written(placed, "simhash-placed")
-    roots = written(placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"), "simhash-roots")
-    ids = placed.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    ids = written(ids, "simhash-ids")
-    forget(nodes, edges, placed, roots)
+    prints, ids = _grouped(docs, id_col, text_col)
     out = prints.join(ids, F.col("fp") == F.col("f"))
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with all its columns.
 
-    Rows that share an id stay or go together; rows without an id stay only where a whole group has none. The ids that
-    go are written first: where they are few, the planner sees their size and the texts are not moved.
+    A row is told from others by its id and its text: rows that share both stay or go together, of rows of one id with
+    different texts in one group the text with the smallest digest stays, and rows without an id stay only where a whole
+    group has none. Null texts count as empty. What goes is written first: where it is little, the planner sees its size
+    and the texts are not moved. Columns of any name are kept; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    least = F.col(id_col).eqNullSafe(F.col("component_id"))
-    gone = found.groupBy(F.col(id_col).alias("_goes")).agg(F.max(least).alias("_stays")).where("not _stays").select("_goes")
-    gone = written(gone, "simhash-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_goes")), "left_anti")
+    prints, ids = _grouped(docs, id_col, text_col)
+    same = F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_digest") == F.col("best.digest"))
+    gone = prints.join(ids, F.col("fp") == F.col("f")).where(~same).select("_id", "_digest").distinct()
+    gone_id, gone_digest = fresh(docs, "gone_id"), fresh(docs, "gone_digest")
+    gone = written(gone.toDF(gone_id, gone_digest), "simhash-gone")
+    forget(prints, ids)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (F.md5(text_of(docs, text_col)) == gone[gone_digest]), "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -307,6 +307,21 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_tells_rows_of_one_id_apart(spark):
+    """Clashing names, one id with two texts of which one is a copy, repeated rows, nulls and an empty table."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    schema = "doc_id long, text string, _goes long, gone_id string, fp long, v long, _digest string, best string"
+    more = (1, "x", 2, 3, "y", "z")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (None, a), (9, None), (10, " ")]
+    docs = spark.createDataFrame([(*r, *more) for r in rows], schema)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(1, a): 1, (5, b): 1, (9, None): 1})
+    lone = spark.createDataFrame([(None, a, *more), (None, a, *more)], schema)
+    assert simhash.drop_near_duplicates(lone).count() == 2
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_simhash_crowd_links_are_exact(spark):
     rng = random.Random(4)
     base = rng.getrandbits(64)
@@ -317,7 +332,7 @@ def test_simhash_crowd_links_are_exact(spark):
             x ^= 1 << rng.randrange(64)
         prints.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), paired=8).collect()
+    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long")).collect()
 
     def classes(pairs):
         up = {p: p for p in prints}
