@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -14,45 +15,73 @@ from lintarium.llm.common import SPACE, WORDS, scratch, ship, text_of, written
 
 #: Words whose counts a worker keeps; a full table is emptied. Longer words are never kept.
 KEPT_WORDS, LONGEST_KEPT = 500_000, 64
-#: Name of the normalisation below, part of the version: runs of white space become one space, none at the ends.
-NORMALISED = "spaces-1"
+#: Names of the normalisations, part of the version: runs of white space become one space and none at the ends, where
+#: the tokenizer drops white space (see ``by_word``), or the text as it is.
+SPACES, WHOLE = "spaces-1", "whole-1"
+#: Fixed value: a pattern whose pieces hold no white space, so that what it doesn't match includes all of it.
+DROPS_SPACE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 CACHE = "version string, digest string, n_tokens bigint"
 
 
+def normalisation(data: bytes) -> str:
+    return SPACES if by_word(data) else WHOLE
+
+
 def version_of(data: bytes) -> str:
-    """Digest of the tokenizer file, the library's version and the normalisation."""
+    """Digest of the tokenizer file, its library's version and the normalisation."""
+    import sentencepiece
     import tokenizers
 
-    return hashlib.sha256(b"\0".join([data, tokenizers.__version__.encode(), NORMALISED.encode()])).hexdigest()
+    library = tokenizers.__version__ if _is_json(data) else f"sentencepiece {sentencepiece.__version__}"
+    return hashlib.sha256(b"\0".join([data, library.encode(), normalisation(data).encode()])).hexdigest()
+
+
+def _is_json(data: bytes) -> bool:
+    return data.lstrip()[:1] == b"{"
 
 
 def by_word(data: bytes) -> bool:
-    """Whether a text's count is the sum over its words: white space is dropped before merging and joins nothing."""
-    from tokenizers import Tokenizer
+    """Whether a text's count is the sum over its words: white space is dropped before merging and joins nothing.
 
-    t = Tokenizer.from_str(data.decode())
-    t.no_padding()
-    t.no_truncation()
-    probe = ["a b", "a\tb", "É\x0b1 2", " x\r\n y ", "<|endoftext|> <|endoftext|>", "e ́", "'s 's"]
-    size = lambda x: len(t.encode(x, add_special_tokens=False).ids)
-    return '"Removed"' in data.decode() and all(size(p) == sum(size(w) for w in WORDS.findall(p)) for p in probe)
+    Read off the specification: normalizers that work inside words, a split that keeps only pieces without white space,
+    and added tokens that neither hold white space nor look at what is beside them. Anything else counts by whole texts.
+    """
+    if not _is_json(data):
+        return False
+    spec = json.loads(data)
+    flat = lambda x, inner: [] if x is None else [z for y in x[inner] for z in flat(y, inner)] if x["type"] == "Sequence" else [x]
+    for n in flat(spec.get("normalizer"), "normalizers"):
+        spaces = n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "
+        if n["type"] not in ("NFC", "Lowercase") and not spaces:
+            return False
+    pre = flat(spec.get("pre_tokenizer"), "pretokenizers")
+    split = pre[:1] and pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": DROPS_SPACE} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+    if not split or any(p["type"] != "ByteLevel" or p["add_prefix_space"] or p["use_regex"] for p in pre[1:]):
+        return False
+    if spec["model"]["type"] != "BPE" or spec["model"].get("dropout"):
+        return False
+    return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or WORDS.findall(t["content"]) != [t["content"]] for t in spec["added_tokens"])
 
 
 class Counter:
-    """Counts tokens with the tokenizers library, one thread, no added special tokens, truncation or padding."""
+    """Counts tokens with the file's library, one thread, no added special tokens, truncation or padding."""
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
         self.by_word = by_word(data)
         self.words: dict[str, int] = {}
+        if _is_json(data):
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(data.decode())
+            tokenizer.no_padding()
+            tokenizer.no_truncation()
+            self.sizes = lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            from sentencepiece import SentencePieceProcessor
 
-    def sizes(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            pieces = SentencePieceProcessor(model_proto=data)
+            self.sizes = lambda texts: [len(ids) for ids in pieces.encode(texts, num_threads=1)]
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_word:
@@ -110,7 +139,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     is made in the shared folder. A first pass digests every normalised content. Digests without an entry of this
     version are given to one document each, whose text is fetched by id and checksum, counted, and appended under
     the digest of what was counted. Files are committed by Spark, so a failed run leaves no half entry, and a rerun
-    counts only what is missing. Other columns are ignored; an empty table gives an empty result.
+    counts only what is missing. A tokenizer that drops white space takes contents as equal that differ only in it; for
+    any other one contents are equal when they are the same. Texts of any length are counted whole, alone in their
+    portion if they are long. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -120,7 +151,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     vocabulary = spark.sparkContext.broadcast(data)
     text = text_of(docs, text_col)
     check = F.xxhash64(text).alias("_check")
-    norm = F.trim(F.regexp_replace(text, F.lit(SPACE + "+"), F.lit(" ")))
+    spaces = by_word(data)
+    norm = F.trim(F.regexp_replace(text, F.lit(SPACE + "+"), F.lit(" "))) if spaces else text
     meta = written(docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(norm, 256).alias("digest"), check), "token-digests")
 
     known = load_cache(spark, cache, version)
@@ -132,7 +164,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary.value)
         for part in _portions(batches):
-            digests = [hashlib.sha256(" ".join(WORDS.findall(t)).encode()).hexdigest() for t in part]
+            digests = [hashlib.sha256((" ".join(WORDS.findall(t)) if spaces else t).encode()).hexdigest() for t in part]
             yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(counter.counts(part), pa.int64())], names=["digest", "n_tokens"])
 
     counted = fetched.mapInArrow(run, "digest string, n_tokens bigint")

@@ -305,13 +305,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = 3, id_col: str =
 
     Up to ``toxic_rows`` and ``clean_rows`` ids are taken in order of a hash; their texts are taken whole in the same order
     as long as ``train_bytes`` hold them. Labels that are null don't count, and an id with two labels counts as toxic.
+    Null texts count as empty, other columns of either table are ignored whatever their names, and tables without a row
+    give a model that scores everything low.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    # Only id and text go on, under names of their own: other columns may be called anything.
+    texts = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("_t"))
+    labels = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_y"))
+    known = labels.where(F.col("_y").isNotNull() & F.col("_id").isNotNull())
     if folds:
-        known = known.where(~held_out(labels[id_col], folds))
-    known = known.groupBy(F.col(id_col).alias("_i")).agg(F.max(F.col(label_col).cast("int")).alias("_y")).withColumn("_h", F.xxhash64("_i"))
+        known = known.where(~held_out(F.col("_id"), folds))
+    known = known.groupBy(F.col("_id").alias("_i")).agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64("_i"))
     taken = known.where("_y = 1").orderBy("_h", "_i").limit(toxic_rows).unionByName(known.where("_y <> 1").orderBy("_h", "_i").limit(clean_rows))
-    found = docs.join(F.broadcast(taken), docs[id_col] == F.col("_i")).select("_h", "_i", F.least("_y", F.lit(1)).alias("_y"), text_of(docs, text_col).alias("_t"))
+    found = texts.join(F.broadcast(taken), F.col("_id") == F.col("_i")).select("_h", "_i", F.least("_y", F.lit(1)).alias("_y"), "_t")
     found = written(found.withColumn("_n", F.octet_length("_t")), "toxic-sample")
     # Of repeated rows of one id the longest text is taken, so there are at most toxic_rows + clean_rows rows here.
     sizes = found.groupBy("_h", "_i", "_y").agg(F.max("_n").alias("n")).orderBy("_h", "_i").collect()
@@ -379,7 +384,10 @@ def score(docs: DataFrame, model: Model, cut: float = 0.7, id_col: str = "doc_id
 
 
 def keep_clean(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores below ``cut``, with all their columns."""
+    """The rows whose text scores below ``cut``, with all their columns and in their schema.
+
+    The text is a string column. Null and empty texts score low and stay; repeated rows are judged alike. Columns of any name are kept, an empty table gives an empty result, and nothing is shuffled.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)
