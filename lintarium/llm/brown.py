@@ -11,6 +11,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,40 @@ PASSES, COUNTED, HELD = 6, 400_000, 4_000_000
 END = b"\n"
 
 
-def _portions(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of the batches of about ``most`` bytes of text with the words of each text, A-Z lower-cased."""
+@dataclass
+class Tokens:
+    """The tokens of some texts: distinct words, the word of each token (``len(words)`` is END, after each text), and starts."""
+
+    array: pa.Array
+    at: np.ndarray
+    starts: np.ndarray
+
+    def __post_init__(self):
+        self.words: list[bytes] = self.array.to_pylist()
+
+
+def tokens(texts: pa.Array) -> Tokens:
+    """Words between white space with A-Z lower-cased. Arrow splits and numbers them, so only distinct ones become objects."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, of = split.flatten(), pc.list_parent_indices(split)
+    full = pc.greater(pc.binary_length(flat), 0)
+    flat, of = flat.filter(full), of.filter(full).to_numpy()
+    coded = flat.cast(pa.binary()).dictionary_encode()
+    sizes = np.bincount(of, minlength=len(texts)) + 1
+    at = np.full(len(of) + len(texts), len(coded.dictionary), np.int64)
+    at[np.arange(len(of)) + of] = coded.indices.to_numpy()
+    return Tokens(coded.dictionary, at, np.cumsum(sizes) - sizes)
+
+
+def _portions(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Slices of the batches of about ``most`` bytes of text with their tokens."""
     for b in batches:
-        texts = b.column(b.schema.get_field_index("_text")).cast(pa.binary())
-        ends = np.cumsum([len(t) for t in texts.to_pylist()]) if b.num_rows else np.zeros(0, int)
+        texts = b.column(b.schema.get_field_index("_text"))
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         at = 0
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
-            yield b.slice(at, end - at), [t.lower().split() for t in texts.slice(at, end - at).to_pylist()]
+            yield b.slice(at, end - at), tokens(texts.slice(at, end - at))
             at = end
 
 
@@ -47,10 +73,9 @@ def word_counts(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for _, texts in _portions(batches):
-            for words in texts:
-                counts.update(words)
-            counts[END] += len(texts)
+        for _, t in _portions(batches):
+            for word, n in zip([*t.words, END], np.bincount(t.at, minlength=len(t.words) + 1).tolist()):
+                counts[word] += n
             if len(counts) > COUNTED:
                 yield _table(counts)
                 counts = Counter()
@@ -93,23 +118,15 @@ class Lexicon:
     def buckets(self, words: list[bytes]) -> np.ndarray:
         return np.array([zlib.crc32(w[-3:]) % self.endings for w in words], np.int64)
 
-    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Places of all tokens with END after each text (-1: not in the list); starts of the texts; where the rare words are, and these."""
-        flat: list = []
-        starts = np.zeros(len(texts), np.int64)
-        for i, words in enumerate(texts):
-            starts[i] = len(flat)
-            flat += words
-            flat.append(END)
-        places = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
-        rare_at = np.flatnonzero(places < 0)
-        return places, starts, rare_at, [flat[i] for i in rare_at.tolist()]
-
-    def of_all(self, own: np.ndarray, ending: np.ndarray, places: np.ndarray, rare_at: np.ndarray, rare: list[bytes]) -> np.ndarray:
-        """What each token has: ``own`` by its place, or ``ending`` by the ending of a rare word."""
-        out = own[places]
-        if rare:
-            out[rare_at] = ending[self.buckets(rare)]
+    def places(self, t: Tokens) -> np.ndarray:
+        """Places of the distinct words (-1: not in the list) and of END."""
+        return np.fromiter(map(self.place.get, [*t.words, END], repeat(-1)), np.int64, len(t.words) + 1)
+
+    def of_words(self, own: np.ndarray, ending: np.ndarray, t: Tokens, places: np.ndarray) -> np.ndarray:
+        """What each distinct word and END has: ``own`` by its place, or ``ending`` by the ending of a rare word."""
+        out, rare = own[places], np.flatnonzero(places < 0)
+        if len(rare):
+            out[rare] = ending[self.buckets([t.words[i] for i in rare.tolist()])]
         return out
 
     def packed(self) -> tuple:
@@ -134,9 +151,8 @@ def pair_counts(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, dense = _lexicon(sent.value), np.zeros(n * n, np.int64)
         ending = known.head + 1 + np.arange(known.endings)
-        for _, texts in _portions(batches):
-            places, _, rare_at, rare = known.places(texts)
-            units = known.of_all(known.unit, ending, places, rare_at, rare)
+        for _, t in _portions(batches):
+            units = known.of_words(known.unit, ending, t, known.places(t))[t.at]
             codes, many = np.unique(np.append(known.head, units[:-1]) * n + units, return_counts=True)
             dense[codes] += many
         codes = np.flatnonzero(dense)
@@ -197,15 +213,17 @@ def contexts(training: DataFrame, lexicon: Lexicon, classes: int, listed: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, ids, table = _lexicon(sent.value), _Held(3 * classes), {}, np.zeros(classes * classes, np.int64)
         name = (lambda at: [known.words[known.head + i] for i in at]) if listed else (lambda at: list(map(list(ids).__getitem__, at)))
-        for _, texts in _portions(batches):
-            places, _, rare_at, rare = known.places(texts)
-            cls = known.of_all(known.cls, known.ending_cls, places, rare_at, rare)
+        for _, t in _portions(batches):
+            own = known.places(t)
+            cls, places = known.of_words(known.cls, known.ending_cls, t, own)[t.at], own[t.at]
             left, seen = np.append(known.cls[-1], cls[:-1]), places >= 0
             if listed:
                 at = np.flatnonzero((places >= known.head) & (places < len(known.words)))
                 who = places[at] - known.head
             else:
-                at, who = rare_at, np.array([ids.setdefault(w, len(ids)) for w in rare], np.int64)
+                at, fresh = np.flatnonzero(~seen), np.flatnonzero(own < 0)
+                own[fresh] = [ids.setdefault(t.words[i], len(ids)) for i in fresh.tolist()]
+                who = own[t.at[at]]
                 table += np.bincount((left * classes + cls)[seen & np.append(True, seen[:-1])], minlength=classes * classes)
             held.add(who, left[at])
             held.add(who, cls[at + 1] + np.where(seen[at + 1], classes, 2 * classes))
@@ -300,9 +318,15 @@ def place_rare(training: DataFrame, lexicon: Lexicon, step: np.ndarray, size: np
 
     rows = contexts(training, lexicon, n, False).repartition("word").sortWithinPartitions("word")
     rows = written(rows.mapInArrow(run, "word binary, n bigint, cls int, pairs array<bigint>"), "lm-words")
-    table = np.zeros(n * n)
-    for r in rows.where("word is null").select(F.posexplode("pairs").alias("at", "c")).groupBy("at").agg(F.sum("c").alias("c")).collect():
-        table[r["at"]] = r["c"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        for b in batches:
+            total += b.column(0).flatten().to_numpy().reshape(-1, n * n).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["pairs"])
+
+    # One table from each task that merged words; they are summed in a few tasks and then here.
+    table = sum(np.array(r["pairs"], float) for r in rows.where("word is null").select("pairs").repartition(8).mapInArrow(add, "pairs array<bigint>").collect())
     return rows.where("word is not null").drop("pairs"), table.reshape(n, n)
 
 
@@ -391,16 +415,16 @@ def _listed(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     Whole levels of counts are taken, an eighth of an octave each, as long as they fit, so that no task sorts for all; of
     the level that no longer fits, the part whose hash is low enough.
     """
-    words = counts.where(F.col("word") != F.lit(END)).withColumn("level", F.floor(F.log2("n") * 8))
+    words = counts.where(F.col("word") != F.lit(END))
+    level = F.floor(F.log2("n") * 8)
     wanted, room = F.lit(False), most
-    for r in sorted(words.groupBy("level").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["level"]):
+    for r in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("n").alias("most")).collect(), key=lambda r: -r["n"]):
         if r["c"] > room:
             # Six standard deviations below the room that is left.
             share = max(0.0, room - 6 * room**0.5) / r["c"]
-            low = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
-            wanted = wanted | ((F.col("level") == r["level"]) & low)
+            wanted = wanted | (F.col("n").between(r["n"], r["most"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
             break
-        wanted, room = wanted | (F.col("level") == r["level"]), room - r["c"]
+        wanted, room = F.col("n") >= r["n"], room - r["c"]
     top = words.where(wanted).select("word", "n").toArrow().to_pylist()
     return sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda r: (-r[1], r[0]))
 
@@ -458,9 +482,9 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         known = _lexicon(m.lexicon)
-        for b, texts in _portions(batches):
-            places, starts, at, rare = known.places(texts)
-            seen, cls = places >= 0, known.cls[places]
+        for b, t in _portions(batches):
+            places, starts = known.places(t)[t.at], t.starts
+            seen, cls, at = places >= 0, known.cls[places], np.flatnonzero(places < 0)
             count = known.count[places]
             after = np.append(True, seen[:-1])
             before = np.append(known.cls[-1], cls[:-1])
@@ -471,7 +495,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
             pair_ends = np.cumsum(np.add.reduceat((~seen & ~after).astype(np.int64), starts))
             # A rare word goes with the class before it and the listed word after it; two in a row also go as a pair.
             left, follows = np.where(after, before, -1)[at], seen[at + 1]
-            words, second = pa.array(rare, pa.binary()), np.flatnonzero(~after[at])
+            words, second = t.array.take(pa.array(t.at[at])), np.flatnonzero(~after[at])
             one = [words, pa.array(left, pa.int16()), pa.array(np.where(follows, cls[at + 1], -1), pa.int16()), pa.array(np.where(follows, count[at + 1], 0))]
             two = [words.take(pa.array(second - 1)), words.take(pa.array(second))]
             yield pa.RecordBatch.from_arrays(
