@@ -39,6 +39,7 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--history", help="folder of the scan history to append to")
     a.add_argument("--project", default="project")
     a.add_argument("--git", action="store_true", help="also judge commits and tags")
+    a.add_argument("--cache", help="folder of facts of files that were parsed before")
     b = sub.add_parser("baseline", help="save a JSON report, of the folder or of a commit")
     b.add_argument("path")
     b.add_argument("output")
@@ -58,7 +59,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     spark = session()
     if o.command == "analyze":
-        found = engine.run_tree(spark, o.path, o.project, git=o.git)
+        found = engine.run_tree(spark, o.path, o.project, git=o.git, cache=o.cache)
         if o.history:
             History(spark, o.history).record(o.project, found.findings.drop("project"), found.scores, found.stats["files_scanned"])
         base = _findings(spark, o.baseline)[0] if o.baseline else None
@@ -77,12 +78,14 @@ def main(args: list[str] | None = None) -> int:
             print(f"{x['status']:<10} {x['path']}:{x['line']} {x['rule_id']} {x['message']}")
         return int(any(x["status"] == "new" for x in rows))
 
-    def again(batch, _) -> None:
-        if not batch.limit(1).isEmpty():
-            print(engine.run_tree(spark, o.path).render("terminal"), flush=True)
-
     with tempfile.TemporaryDirectory() as state:
-        q = watch(spark, o.path, state, again, once=o.once)
+
+        def again(batch, _) -> None:
+            # Only the files of the burst are parsed, the others come from the cache.
+            if not batch.limit(1).isEmpty():
+                print(engine.run_tree(spark, o.path, cache=f"{state}/facts").render("terminal"), flush=True)
+
+        q = watch(spark, o.path, f"{state}/stream", again, once=o.once)
         while q.isActive:
             time.sleep(0.25)
         if q.exception():

@@ -20,19 +20,23 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def directives(comments: DataFrame, pattern: str = DIRECTIVE) -> DataFrame:
-    """(path, line, rule_id, file_scoped) of every rule named in a suppression comment; ids are compared whole."""
+    """(project if there is one, path, line, rule_id, file_scoped) of every rule named in a suppression comment; ids are compared whole."""
     c = comments.withColumn("_kind", F.regexp_extract("text", pattern, 1)).where("_kind <> ''")
     ids = F.filter(F.transform(F.split(F.regexp_extract("text", pattern, 2), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return c.select("path", "line", F.explode(ids).alias("rule_id"), (F.col("_kind") == "ignore-file").alias("file_scoped"))
+    return c.select(*[k for k in ("project", "path", "line") if k in comments.columns], F.explode(ids).alias("rule_id"), (F.col("_kind") == "ignore-file").alias("file_scoped"))
 
 
 def suppress(findings: DataFrame, suppressions: DataFrame, path: str = "path", line: str = "line", rule: str = "rule_id") -> DataFrame:
     """Findings without those that a directive on their line, the line before or for their file names: a left anti join.
 
-    The join is an equi join on file and rule; the lines are the rest of its condition.
+    The join is an equi join on file and rule, and on the project where both sides have one; the lines are the rest of
+    its condition.
     """
-    s = suppressions.select(F.col(path).alias("_path"), F.col(rule).alias("_rule"), F.col(line).alias("_line"), F.col("file_scoped").alias("_file"))
+    scope = [F.col("project").alias("_project")] if "project" in findings.columns and "project" in suppressions.columns else []
+    s = suppressions.select(*scope, F.col(path).alias("_path"), F.col(rule).alias("_rule"), F.col(line).alias("_line"), F.col("file_scoped").alias("_file"))
     own = (findings[path] == s["_path"]) & (findings[rule] == s["_rule"])
+    if scope:
+        own = own & findings["project"].eqNullSafe(s["_project"])
     return findings.join(s, own & (s["_file"] | (s["_line"] == findings[line]) | (s["_line"] == findings[line] - 1)), "left_anti")
 
 

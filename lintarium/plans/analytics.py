@@ -64,3 +64,13 @@ def delta(findings: DataFrame, scan: Column, severity: str, before, after) -> Da
     at = findings.select(F.col(severity), scan.alias("_scan")).where(F.col("_scan").isin(before, after))
     sums = at.groupBy(severity).agg(F.count_if(F.col("_scan") == before).alias("old"), F.count_if(F.col("_scan") == after).alias("new"))
     return sums.withColumn("delta", F.col("new") - F.col("old"))
+
+
+def worst(findings: DataFrame, rule: str, level: Column) -> DataFrame:
+    """(rule, worst, n) of every rule: its gravest finding and how many it has."""
+    return findings.groupBy(rule).agg(F.max(level).alias("worst"), F.count("*").alias("n"))
+
+
+def suites(findings: DataFrame, suite: str, failure: Column, error: Column) -> DataFrame:
+    """(suite, tests, failures, errors) of each suite, and of all with a null suite."""
+    return findings.rollup(suite).agg(F.count("*").alias("tests"), F.count_if(failure).alias("failures"), F.count_if(error).alias("errors"))

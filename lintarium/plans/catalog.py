@@ -15,7 +15,11 @@ from lintarium.functions.severity import grade, lookup
 from lintarium.functions.text import lines, plain_lines
 from lintarium.operators import findings as ops
 from lintarium.operators import graph, sequences, similarity
-from lintarium.plans import analytics
+from lintarium.plans import analytics, cases, rules
+from lintarium.sources import history
+from lintarium.sources.facts import FACTS, parse
+from lintarium.sources.tree import FILES
+from lintarium.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,12 +132,12 @@ def previous_scan(spark, sf):
 
 @query("SELECT l_returnflag, max(l_linenumber) AS worst, count(*) AS n FROM lineitem GROUP BY 1")
 def severity_max(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.max("l_linenumber").alias("worst"), F.count("*").alias("n"))
+    return analytics.worst(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_linenumber"))
 
 
 @query("SELECT event_type, count(*) AS tests, count(*) FILTER (value > 50) AS failures, count(*) FILTER (value IS NULL) AS errors FROM events GROUP BY ROLLUP (event_type)")
 def junit_rollup(spark, sf):
-    return table(spark, sf, "events").rollup("event_type").agg(F.count("*").alias("tests"), F.count_if(F.col("value") > 50).alias("failures"), F.count_if(F.col("value").isNull()).alias("errors"))
+    return analytics.suites(table(spark, sf, "events"), "event_type", F.col("value") > 50, F.col("value").isNull())
 
 
 # --- findings ----------------------------------------------------------------------------------------------------
@@ -174,19 +178,19 @@ def suppression(spark, sf):
     return ops.suppress(items, marks).select(F.col("path").alias("l_orderkey"), F.col("line").alias("l_linenumber"), "l_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE len(list_filter(string_split(upper(p_type), ' '), lambda x: x IN ('STEEL', 'TIN'))) > 0 AND upper(p_brand) IN ('BRAND#11', 'BRAND#12', 'BRAND#13')")
+@query("SELECT p_partkey FROM part WHERE len(list_filter(string_split(upper(p_type), ' '), lambda x: x IN ('ECONOMY', 'SMALL'))) > 0 AND upper(p_brand) IN ('BRAND#11', 'BRAND#12', 'BRAND#13')")
 def taxonomy_filter(spark, sf):
     part = table(spark, sf, "part").withColumns({"owasp": F.split("p_type", " "), "cwe": F.array("p_brand")})
-    return ops.taxonomy(part, ["steel", "tin"], ["Brand#11", "Brand#12", "brand#13"]).select("p_partkey")
+    return ops.taxonomy(part, ["economy", "small"], ["Brand#11", "Brand#12", "brand#13"]).select("p_partkey")
 
 
 @query(
-    """SELECT * FROM (SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' AND p_type LIKE '%STEEL' THEN 'critical' WHEN p_brand = 'Brand#11' AND p_type LIKE 'PROMO%' THEN 'ignore'
+    """SELECT * FROM (SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' AND p_type LIKE '%ARD' THEN 'critical' WHEN p_brand = 'Brand#11' AND p_type LIKE 'PROMO%' THEN 'ignore'
     WHEN p_brand = 'Brand#12' THEN 'low' ELSE 'medium' END AS severity FROM part) WHERE severity <> 'ignore'"""
 )
 def glob_override(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.lit("medium").alias("severity"))
-    out = ops.override(part, [("Brand#11", "*STEEL", "critical"), ("Brand#11", "PROMO*", "ignore")], {"Brand#12": "low"}, path="p_type", rule="p_brand")
+    out = ops.override(part, [("Brand#11", "*ARD", "critical"), ("Brand#11", "PROMO*", "ignore")], {"Brand#12": "low"}, path="p_type", rule="p_brand")
     return out.select("p_partkey", "severity")
 
 
@@ -199,9 +203,6 @@ def fail_on(spark, sf):
     return s.withColumn("fails", rank(F.col("severity")) >= 3)
 
 
-@query("SELECT event_type, user_id, CAST(ts AS VARCHAR) AS at FROM events ORDER BY user_id, ts, event_id LIMIT 100")
-def canonical_sort(spark, sf):
-    return table(spark, sf, "events").orderBy("user_id", "ts", "event_id").limit(100).select("event_type", "user_id", F.regexp_replace(F.col("ts").cast("string"), r"(\.\d*?)0+$", "$1").alias("at"))
 
 
 @query("SELECT event_type, user_id, CAST(ts AS VARCHAR) AS at, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS position FROM events")
@@ -218,52 +219,98 @@ def retention(spark, sf):
 
 @query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def latest_scan(spark, sf):
-    last = F.max(F.struct("ts", "event_id", "event_type"))
-    return table(spark, sf, "events").groupBy("user_id").agg(last.alias("m")).select("user_id", "m.event_id", "m.event_type")
+    return sequences.newest(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT c_custkey, coalesce(label, '') AS label FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS label FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, label FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS label FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def label_join(spark, sf):
-    labels = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("label"))
-    return table(spark, sf, "customer").join(labels, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("label", F.lit("")).alias("label"))
+    """Customers as scans, orders as their labels, of which the latest counts."""
+    scans = table(spark, sf, "customer").select(F.lit("p").alias("project"), F.col("c_custkey").alias("scan_id"))
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    labels = table(spark, sf, "orders").select(F.lit("p").alias("project"), F.col("o_custkey").alias("scan_id"), F.col("o_orderpriority").alias("label"), at.alias("at"))
+    return history.labelled(scans, labels).select(F.col("scan_id").alias("c_custkey"), "label")
 
 
 @query("SELECT event_type FROM events WHERE user_id % 2 = 0 UNION SELECT event_type FROM events WHERE user_id % 2 = 1")
 def union_distinct(spark, sf):
     events = table(spark, sf, "events")
-    return events.where("user_id % 2 = 0").select("event_type").union(events.where("user_id % 2 = 1").select("event_type")).distinct()
+    return ops.union([events.where("user_id % 2 = 0").select("event_type"), events.where("user_id % 2 = 1").select("event_type")]).distinct()
 
 
 # --- rules -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 4")
+def _facts(rows: DataFrame, kind: str, path, name=None, start=None, language: str = "python", project=None, **attrs) -> DataFrame:
+    """Facts of one kind from the columns of a table."""
+    at = F.lit(0) if start is None else start.cast("int")
+    pairs = [x for k, v in attrs.items() for x in (F.lit(k), v.cast("string"))]
+    return rows.select(
+        (F.lit("p") if project is None else project.cast("string")).alias("project"), path.cast("string").alias("path"), F.lit(language).alias("language"), F.lit(kind).alias("kind"),
+        (F.lit(None) if name is None else name).cast("string").alias("name"), at.alias("start"), at.alias("end"), F.lit(1).alias("line"), F.lit(1).alias("end_line"),
+        (F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None)).cast("map<string,string>").alias("attrs"),
+    )
+
+
+def _files(rows: DataFrame, path, content, language: str = "python", project=None) -> DataFrame:
+    text = content.cast("string")
+    return rows.select((F.lit("p") if project is None else project.cast("string")).alias("project"), path.cast("string").alias("path"), F.lit(language).alias("language"), text.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+
+def _judge(files: DataFrame | None, only: list[str], facts: DataFrame | None = None, **more) -> DataFrame:
+    """What the rules themselves find in facts or files that were made from the driver's tables."""
+    if facts is None:
+        facts = files.sparkSession.createDataFrame([], FACTS)
+    if files is None:
+        files = facts.sparkSession.createDataFrame([], FILES)
+    return rules.analyze(rules.Project(files, given=facts, **more), only)
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS path, 'file has ' || count(DISTINCT l_suppkey) || ' distinct imports' AS message FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 4")
 def fan_out(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n > 4")
+    """Orders as files, suppliers as what they import."""
+    imports = _facts(table(spark, sf, "lineitem"), "import", F.col("l_orderkey"), F.col("l_suppkey"))
+    return _judge(None, ["CPLX001-fan-out"], imports, thresholds={"CPLX001-fan-out": 4}).select("path", "message")
 
 
-@query("SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) > 12")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS path, min(o_orderkey) AS start, 'type T has ' || count(*) || ' methods' AS message FROM orders GROUP BY o_custkey HAVING count(*) > 12")
 def large_group(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first")).where("n > 12")
+    """Customers as files with one type, orders as its methods."""
+    methods = _facts(table(spark, sf, "orders"), "function", F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderkey"), fn_kind=F.lit("Method"), parent=F.lit("T"))
+    return _judge(None, ["MAINT008-large-impl-block"], methods, thresholds={"MAINT008-large-impl-block": 12}).select("path", "start", "message")
 
 
-@query("SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'R') * 100 // count(*) AS BIGINT) AS ratio FROM lineitem GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (l_returnflag = 'R') * 100 // count(*) < 33")
+@query("""WITH f AS (SELECT l_suppkey AS dir, l_returnflag = 'R' AS test, l_suppkey || '/' || CASE l_returnflag WHEN 'R' THEN 'test_' ELSE '' END || l_orderkey || '_' || l_linenumber || '.py' AS path FROM lineitem),
+    g AS (SELECT count(*) FILTER (test) AS t, count(*) FILTER (NOT test) AS s, min(path) FILTER (NOT test) AS path FROM f GROUP BY dir)
+    SELECT path, 'folder has ' || t || ' test files for ' || s || ' sources' AS message FROM g WHERE s >= 3 AND t * 100 // s < 50""")
 def dir_ratio(spark, sf):
-    sums = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("t"), F.count("*").alias("n"))
-    return sums.withColumn("ratio", F.expr("t * 100 div n")).where("n >= 3 and ratio < 33").select("l_suppkey", "ratio")
+    """Suppliers as folders, returned line items as test files."""
+    name = F.concat(F.col("l_suppkey").cast("string"), F.lit("/"), F.when(F.col("l_returnflag") == "R", "test_").otherwise(""), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".py"))
+    files = _files(table(spark, sf, "lineitem"), name, F.lit(""))
+    return _judge(files, ["TEST001-test-ratio"], thresholds={"TEST001-test-ratio": 50}).select("path", "message")
+
+
+def _orders_as_history(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as projects: (manifests, commits by priority, tags of finished orders)."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("project"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderkey", "o_orderstatus")
+    files = _files(orders.select("project").distinct(), F.lit("Cargo.toml"), F.lit(""), "rust", F.col("project")).withColumn("language", F.lit(None).cast("string"))
+    tags = orders.where("o_orderstatus = 'F'").select("project", F.lit("v1.0").alias("name"), "ts", F.lit(0).alias("ord"))
+    return files, orders.select("project", "author", "ts"), tags
 
 
-@query("WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT event_type, max(n) AS top, CAST(sum(n) AS BIGINT) AS total, count(*) AS authors, min_by(user_id, (-n, user_id)) AS author FROM c GROUP BY 1) SELECT event_type, author, top * 100.0 / total > 1 AS single, authors, authors <= 2 AS low_bus FROM s")
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT o_custkey, max(n) AS top, sum(n) AS total, count(*) AS authors FROM c GROUP BY 1)
+    SELECT CAST(o_custkey AS VARCHAR) AS project, 'HEALTH001-single-author' AS rule_id, 'most commits are by one author' AS message FROM s WHERE top * 100 > total * 50 UNION ALL
+    SELECT CAST(o_custkey AS VARCHAR), 'HEALTH003-low-bus-factor', authors || ' authors' FROM s WHERE authors <= 2""")
 def single_author(spark, sf):
-    c = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    s = c.groupBy("event_type").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.count("*").alias("authors"), F.min_by("user_id", F.struct((-F.col("n")).alias("n"), F.col("user_id").alias("u"))).alias("author"))
-    return s.select("event_type", "author", (F.col("top") * 100.0 / F.col("total") > 1).alias("single"), "authors", (F.col("authors") <= 2).alias("low_bus"))
+    files, commits, _ = _orders_as_history(spark, sf)
+    return _judge(files, ["HEALTH001-single-author", "HEALTH003-low-bus-factor"], commits=commits).select("project", "rule_id", "message")
 
 
-@query("SELECT user_id, CAST(date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') AS INTEGER) AS days FROM events GROUP BY 1 HAVING date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') > 3")
+@query("""WITH c AS (SELECT o_custkey, max(o_orderdate) AS last, max(o_orderdate) FILTER (o_orderstatus = 'F') AS tag FROM orders GROUP BY 1)
+    SELECT CAST(o_custkey AS VARCHAR) AS project, 'HEALTH002-stale-release' AS rule_id FROM c WHERE date_diff('day', CAST(tag AS DATE), DATE '1998-12-01') > 365 UNION ALL
+    SELECT CAST(o_custkey AS VARCHAR), 'HEALTH004-commit-stale' FROM c WHERE date_diff('day', CAST(last AS DATE), DATE '1998-12-01') > 180""")
 def stale(spark, sf):
-    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("t"))
-    return last.select("user_id", F.datediff(F.lit("2024-02-01").cast("date"), F.col("t").cast("date")).alias("days")).where("days > 3")
+    files, commits, tags = _orders_as_history(spark, sf)
+    return _judge(files, ["HEALTH002-stale-release", "HEALTH004-commit-stale"], commits=commits, tags=tags, now="1998-12-01").select("project", "rule_id")
 
 
 _LINES = "SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL"
@@ -296,40 +343,60 @@ def line_rule(spark, sf):
     return lines(table(spark, sf, "documents"), "text", "doc_id").where(F.col("text").rlike("(License|@|[0-9]{4})")).select("doc_id", "line_no", "byte_start")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND regexp_matches(text, '[A-Z]{3}')")
+@query("SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND regexp_matches(text, '[A-Z]{3}')")
 def literal_semi_rule(spark, sf):
-    wanted = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf, "documents").where(F.col("text").rlike("[A-Z]{3}")).join(wanted, "doc_id", "left_semi").select("doc_id")
+    """Documents as files that hold a shell command where they have three capitals, and import a shell where they are labelled."""
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("text").rlike("[A-Z]{3}"), F.concat(F.lit("sh -c "), "text")).otherwise(F.col("text")).alias("text"))
+    facts = ops.union([_facts(docs, "string", F.col("doc_id"), value=F.col("text")), _facts(table(spark, sf, "labels").where("toxic = 1"), "import", F.col("doc_id"), F.lit("subprocess"))])
+    return _judge(None, ["SEC003-shell-injection"], facts).select("path")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 4000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE n_chars > 4000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def literal_anti_rule(spark, sf):
-    return table(spark, sf, "documents").where("n_chars > 4000").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "n_chars")
+    """Documents as files with a handler where they are long, and with a guard where they are labelled."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    facts = ops.union([_facts(docs, "function", F.col("doc_id"), F.lit("f"), region=F.when(F.col("n_chars") > 4000, "app.post(")), _facts(docs, "import", F.col("doc_id"), F.lit("flask"))])
+    return _judge(_files(labels, F.col("doc_id"), F.lit("csrf_token")), ["SEC008-csrf-missing"], facts).select("path")
 
 
-@query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0 AND d.n_chars > 1000")
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS path, 'public item without documentation: ' || source AS message FROM documents d WHERE n_chars > 1000 AND source IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def doc_join_rule(spark, sf):
-    return table(spark, sf, "documents").where("n_chars > 1000").join(table(spark, sf, "labels").where("quality = 0"), "doc_id").select("doc_id", "quality")
+    """Documents as items that are public where they are long and documented where a label says so."""
+    said = table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit("Says so.").alias("doc")).distinct()
+    items = table(spark, sf, "documents").join(said, "doc_id", "left")
+    facts = _facts(items, "function", F.col("doc_id"), F.col("source"), visibility=F.when(F.col("n_chars") > 1000, "Public").otherwise("Private"), doc=F.col("doc"))
+    return _judge(None, ["DOC001-public-api-undoc"], facts).select("path", "message")
 
 
-TOKENS = ("the", "and", "que", "der", "ing")
 
 
-@query("SELECT conv_id, turn, t AS token FROM conversations, (SELECT unnest(['" + "', '".join(TOKENS) + "']) AS t) WHERE contains(text, t)")
+@query("""WITH b AS (SELECT conv_id || '/' || turn AS path, replace(replace(text, 'the', 'Math.random'), 'que', 'setTimeout') AS body FROM conversations)
+    SELECT path, 'test depends on time or chance: ' || t AS message FROM b, (SELECT unnest(['Math.random', 'setTimeout', 'sleep']) AS t) WHERE contains(body, t)""")
 def token_bodies(spark, sf):
-    c = table(spark, sf, "conversations")
-    found = F.filter(F.array(*[F.when(F.contains(F.col("text"), F.lit(t)), F.lit(t)) for t in TOKENS]), lambda x: x.isNotNull())
-    return c.select("conv_id", "turn", F.explode(found).alias("token"))
+    """Turns as tests, with two of their syllables as the tokens that are looked for."""
+    path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    body = F.replace(F.replace(F.col("text"), F.lit("the"), F.lit("Math.random")), F.lit("que"), F.lit("setTimeout"))
+    return _judge(None, ["TEST004-flaky-time"], _facts(table(spark, sf, "conversations"), "function", path, F.lit("t"), is_test=F.lit("True"), body=body)).select("path", "message")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-z]+')) AS INTEGER) AS n FROM pages WHERE len(regexp_extract_all(html, '<[a-z]+')) > 20")
+@query(f"""SELECT CAST(page_id AS VARCHAR) AS path, 'test has ' || len(regexp_extract_all(replace(html, '<', ' panic!'), '{rules.ASSERTS}')) || ' assertions' AS message
+    FROM pages WHERE len(regexp_extract_all(replace(html, '<', ' panic!'), '{rules.ASSERTS}')) > 40""")
 def regex_count_rule(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit("<[a-z]+")).alias("n")).where("n > 20")
+    """Pages as tests, their tags as assertions."""
+    facts = _facts(table(spark, sf, "pages"), "function", F.col("page_id"), F.lit("t"), is_test=F.lit("True"), body=F.replace(F.col("html"), F.lit("<"), F.lit(" panic!")))
+    return _judge(None, ["TEST005-assert-count"], facts, thresholds={"TEST005-assert-count": 40}).select("path", "message")
 
 
-@query("SELECT conv_id, bool_or(role = 'user') AS any_user, bool_and(length(text) > 20) AS all_long FROM conversations GROUP BY 1")
+@query("SELECT CAST(conv_id AS VARCHAR) AS project FROM conversations GROUP BY conv_id HAVING bool_or(role = 'user') AND NOT bool_or(length(text) > 400)")
 def any_all_rule(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "user").alias("any_user"), F.bool_and(F.length("text") > 20).alias("all_long"))
+    """Conversations as projects, turns as dependencies: users are bound to a runtime, long turns to none."""
+    turns = table(spark, sf, "conversations")
+    name = lambda role, long: F.when(long, "futures").when(role == "user", "tokio").otherwise("serde")
+    both = F.array(name(F.col("role"), F.lit(False)), name(F.lit(""), F.length("text") > 400))
+    deps = turns.select(F.col("conv_id").cast("string").alias("project"), F.lit("Cargo.toml").alias("path"), F.lit("cargo").alias("kind"), F.lit("dependencies").alias("section"), F.explode(both).alias("name"), F.lit("1").alias("spec"), F.lit(None).cast("map<string,string>").alias("attrs"))
+    project = rules.Project(spark.createDataFrame([], FILES), given=spark.createDataFrame([], FACTS))
+    project.dependencies = deps
+    return rules.analyze(project, ["ECO002-async-runtime-coupling"]).select("project")
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt FROM conversations) WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'")
@@ -347,17 +414,6 @@ def advisory_theta(spark, sf):
     return similarity.advised(table(spark, sf, "part"), known, "p_brand", "p_type").select("p_partkey", "advisory")
 
 
-@query(
-    """WITH o AS (SELECT o_orderkey, o_custkey % 50 AS name, o_orderstatus AS a, o_orderkey % 2 AS snap FROM orders),
-    h AS (SELECT name, max(a) AS kind FROM o WHERE snap = 0 GROUP BY 1), n AS (SELECT name, max(a) AS kind FROM o WHERE snap = 1 AND name % 7 <> 0 GROUP BY 1)
-    SELECT h.name, CASE WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS status FROM h LEFT JOIN n USING (name) WHERE n.name IS NULL OR h.kind <> n.kind"""
-)
-def api_diff(spark, sf):
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("name"), F.col("o_orderstatus").alias("a"), (F.col("o_orderkey") % 2).alias("snap"))
-    head = o.where("snap = 0").groupBy("name").agg(F.max("a").alias("kind"))
-    now = o.where("snap = 1 and name % 7 <> 0").groupBy("name").agg(F.max("a").alias("now"))
-    j = head.join(now, "name", "left").where("now is null or kind <> now")
-    return j.select("name", F.when(F.col("now").isNull(), "removed").otherwise("changed").alias("status"))
 
 
 @query(
@@ -366,33 +422,31 @@ def api_diff(spark, sf):
     SELECT h.name, CASE WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS status FROM h LEFT JOIN n USING (name) WHERE n.name IS NULL OR h.kind <> n.kind"""
 )
 def api_diff_by_date(spark, sf):
-    """Customers as names, and orders before and from a date as the two snapshots."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderstatus").alias("a"), (F.col("o_orderdate") < F.lit(SNAPSHOT).cast("timestamp_ntz")).alias("old"))
-    head = o.where("old").groupBy("name").agg(F.max("a").alias("kind"))
-    now = o.where("not old").groupBy("name").agg(F.max("a").alias("now"))
-    j = head.join(now, "name", "left").where("now is null or kind <> now")
-    return j.select("name", F.when(F.col("now").isNull(), "removed").otherwise("changed").alias("status"))
+    """Customers as public functions, orders before and from a date as the two versions, and the status as the arity."""
+    o = table(spark, sf, "orders").groupBy("o_custkey", (F.col("o_orderdate") < F.lit(SNAPSHOT).cast("timestamp_ntz")).alias("old")).agg(F.max("o_orderstatus").alias("status"))
+    facts = lambda rows: _facts(rows, "function", F.col("o_custkey"), F.col("o_custkey"), visibility=F.lit("Public"), top=F.lit("True"), params=F.ascii("status"))
+    found = _judge(None, ["API001-public-symbol-removed", "API002-signature-arity-changed"], facts(o.where("not old")), baseline=facts(o.where("old")))
+    return found.select(F.col("path").cast("long").alias("name"), lookup(F.col("rule_id"), {"API001-public-symbol-removed": "removed"}, "changed").alias("status"))
 
 
-@query("SELECT d.doc_id, c.h IS NOT NULL AS hit FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 5 <> 0) c ON d.doc_id = c.doc_id AND d.h = c.h")
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS path, c.h IS NOT NULL AS hit FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 5 <> 0) c ON d.doc_id = c.doc_id AND d.h = c.h")
 def cache_hits(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    now = docs.select("doc_id", F.sha2("text", 256).alias("h"))
-    cache = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("c_id"), F.sha2(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")), 256).alias("c_h")).distinct()
-    return now.join(cache, (F.col("doc_id") == F.col("c_id")) & (F.col("h") == F.col("c_h")), "left").select("doc_id", F.col("c_id").isNotNull().alias("hit"))
+    """Documents as files; the cache lacks some of them and knows older contents of others."""
+    docs = table(spark, sf, "documents")
+    known = _files(docs.where("doc_id % 5 <> 0"), F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")))
+    missing, held = history.split_by_cache(_files(docs, F.col("doc_id"), F.col("text")), history.hashes(known).withColumn("config_hash", F.lit("c")), "c")
+    return missing.select("path", F.lit(False).alias("hit")).unionByName(held.select("path", F.lit(True).alias("hit")).distinct())
 
 
-@query("SELECT a.page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) a WHERE href <> '' GROUP BY 1")
-def import_edges(spark, sf):
-    hrefs = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
-    return hrefs.where("href <> ''").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 _IMPORTS = r"""i AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS module FROM pages),
     p AS (SELECT url, list_filter(string_split(regexp_replace(regexp_replace(url, '\.[^./]+$', ''), '/(__init__|index|mod)$', ''), '/'), lambda x: x <> '') AS p FROM pages),
     k AS (SELECT url, array_to_string(list_slice(p, n, len(p)), '/') AS k FROM (SELECT url, p, unnest(range(1, len(p) + 1)) AS n FROM p)),
     o AS (SELECT k, min(url) AS dst FROM k GROUP BY 1),
-    t AS (SELECT src, module, dst FROM i LEFT JOIN o ON k = regexp_replace(regexp_replace(module, '^(crate::|[./]+)', ''), '::|\.', '/', 'g'))"""
+    m AS (SELECT src, module, CASE WHEN regexp_matches(module, '^\.\.?/') THEN regexp_replace(regexp_extract(module, '[^/]*$'), '\.(ts|tsx|js|mjs)$', '')
+        ELSE regexp_replace(regexp_replace(module, '^(crate::|[./]+)', ''), '::|\.', '/', 'g') END AS key FROM i),
+    t AS (SELECT src, module, dst FROM m LEFT JOIN o ON k = key)"""
 
 
 def _imports(spark, sf):
@@ -412,15 +466,6 @@ def import_targets(spark, sf):
     return graph.targets_by_suffix(*_imports(spark, sf))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS u, l_partkey % 40 AS v FROM lineitem WHERE l_partkey % 11 = 3 AND l_suppkey % 40 <> l_partkey % 40 AND (l_suppkey * 7 + l_partkey) % 23 < 3),
-    r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
-    m AS (SELECT a.u AS node, least(a.u, min(a.v)) AS component FROM r a JOIN r b ON a.u = b.v AND a.v = b.u WHERE a.u <> a.v GROUP BY a.u)
-    SELECT node, component FROM m"""
-)
-def scc(spark, sf):
-    edges = table(spark, sf, "lineitem").where("l_partkey % 11 = 3 and (l_suppkey * 7 + l_partkey) % 23 < 3").select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst"))
-    return graph.components(edges)
 
 
 @query(
@@ -446,20 +491,48 @@ def threshold_rule(spark, sf):
     return part.select("p_partkey", (F.col("p_size") > 30).alias("over"), grade(F.col("p_size") * 2).alias("grade"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.missing') IS NOT NULL AS there FROM events")
 def json_pointer(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("")).alias("missing"))
+    docs = table(spark, sf, "events").withColumn("doc", F.col("props"))
+    return docs.select("event_id", rules.get("$.k").cast("int").alias("k"), rules.has("$.missing").alias("there"))
 
 
-@query("WITH f AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), 'on')) AS n, source FROM documents) SELECT source, CAST(max(n) AS INTEGER) AS n, min_by(doc_id, (-n, doc_id)) AS doc_id FROM f GROUP BY 1 HAVING max(n) > 5")
+@query("""WITH f AS (SELECT source, CAST(doc_id AS VARCHAR) AS path, len(regexp_extract_all(coalesce(text, ''), 'on')) AS n FROM documents)
+    SELECT source AS project, min_by(path, (-n, path)) AS path, max(n) || ' uses of Arc<Mutex>' AS message FROM f GROUP BY 1 HAVING max(n) > 5""")
 def arg_max_file(spark, sf):
-    f = table(spark, sf, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("on")).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("doc_id").alias("d")))
-    return f.groupBy("source").agg(best.alias("b")).select("source", (-F.col("b.m")).alias("n"), F.col("b.d").alias("doc_id")).where("n > 5")
+    """Sources as projects, documents as files, and a syllable as what is counted."""
+    files = _files(table(spark, sf, "documents"), F.col("doc_id"), F.replace(F.col("text"), F.lit("on"), F.lit(" Arc<Mutex ")), "rust", F.col("source"))
+    return _judge(files, ["PERF003-arc-mutex-density"]).select("project", "path", "message")
 
 
 @query("SELECT event_type, user_id, min(ts) AS started, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY event_type, user_id, g")
 def debounce(spark, sf):
-    events = table(spark, sf, "events")
-    bursts = events.groupBy("event_type", "user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return bursts.select("event_type", "user_id", F.col("w.start").alias("started"), "n")
+    bursts = watch.bursts(table(spark, sf, "events"), "ts", "1 hour", keys=["event_type", "user_id"])
+    return bursts.select("event_type", "user_id", F.col("start").alias("started"), "n")
+
+
+# --- rules over small projects -----------------------------------------------------------------------------------------
+
+
+def _family(name: str, family: cases.Family) -> None:
+    def run(spark, sf):
+        return cases.found(spark, family)
+
+    run.__name__ = name
+    query(cases.sql(family))(run)
+
+
+for _name, _one in cases.FAMILIES.items():
+    _family(_name, _one)
+
+_PARSED = {"a.py": 'import os\nfrom a.b import c\n\n\nclass T:\n    def m(self, x):\n        return "s"  # note\n\n\ndef f(a, b=1):\n    return os\n', "b.py": "def (:\n", "c.rs": "use std::fs;\npub fn g(a: u8) {}\npub struct S { a: u8 }\n", "d.js": "import x from './x';\nexport function h(a) {}\n", "e.txt": "def f(): pass\n"}
+
+
+@query(
+    """SELECT * FROM (VALUES ('a.py', 'import', 'os', 1), ('a.py', 'import', 'a.b', 2), ('a.py', 'type', 'T', 5), ('a.py', 'function', 'm', 6), ('a.py', 'function', 'f', 10), ('b.py', 'parse_error', 'SyntaxError', 1),
+    ('c.rs', 'import', 'std::fs', 1), ('c.rs', 'function', 'g', 2), ('c.rs', 'type', 'S', 3), ('d.js', 'import', './x', 1), ('d.js', 'function', 'h', 2)) AS t(path, kind, name, line)"""
+)
+def parse_python(spark, sf):
+    """Imports, types, functions and errors of small files of each language."""
+    facts = parse(cases.files(spark, {"p": _PARSED}))
+    return facts.where(F.col("kind").isin("import", "type", "function", "parse_error")).select("path", "kind", "name", "line")

@@ -13,7 +13,9 @@ from lintarium.plans import analytics, report
 from lintarium.plans.config import Config
 from lintarium.plans.rules import Project, analyze
 from lintarium.sources import tree
+from lintarium.sources.history import config_hash
 from lintarium.sources.tables import written
+from lintarium.streaming import watch
 
 
 @dataclass
@@ -30,37 +32,41 @@ class Report:
         return report.render(kind, report.rows_of(self.findings), self.scored(), **more)
 
 
-def run(files: DataFrame, config: Config | None = None, only: list[str] | None = None, **history) -> Report:
+def run(files: DataFrame, config: Config | None = None, only: list[str] | None = None, cache: str | None = None, **history) -> Report:
     """Findings, scores and counts of a table of files.
 
+    With ``cache``, a folder of facts, only files that it doesn't know with this content and configuration are parsed.
+
     Suppressions go before overrides, scores come from what is left, and later filters don't change them. A thousand
     lines are taken as 80,000 bytes.
     """
     config = config or Config()
-    project = Project(files, config.thresholds, **history)
+    known, hits = watch.cached_facts(files, cache, config_hash({**vars(config), "disabled": sorted(config.disabled)})) if cache else (None, None)
+    project = Project(files, config.thresholds, given=known, **history)
     raw = analyze(project, only)
     if config.disabled:
         raw = raw.where(~F.col("rule_id").isin(*sorted(config.disabled)))
     raw = written(raw, "findings")
-    marks = ops.directives(project.of("comment").select("path", "line", F.col("attrs")["text"].alias("text")))
+    marks = ops.directives(project.of("comment").select("project", "path", "line", F.col("attrs")["text"].alias("text")))
     left = ops.suppress(raw, marks)
     final = written(ops.override(left, config.overrides, config.severities), "final")
     totals = files.agg(F.count_if(F.col("language").isNotNull()).alias("files"), F.sum(F.when(F.col("language").isNotNull(), F.col("n_bytes"))).alias("bytes")).first()
     failed = project.of("parse_error").count()
     scores = analytics.scores(final, weight(F.col("severity")), (totals["bytes"] or 0) / 80 / 1000)
     n_raw, n_left = raw.count(), left.count()
-    return Report(final, scores, {"files_scanned": totals["files"], "parse_failures": failed, "suppressed": n_raw - n_left})
+    return Report(final, scores, {"files_scanned": totals["files"], "parse_failures": failed, "suppressed": n_raw - n_left, **({"cache_hits": hits} if cache else {})})
 
 
-def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False) -> Report:
+def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False, cache: str | None = None) -> Report:
     config = config or (Config.load(root) if "://" not in root else Config())
     history = {"commits": tree.git_commits(spark, root, project), "tags": tree.git_tags(spark, root, project)} if git else {}
-    return run(tree.scan(spark, root, project, config.exclude), config, only, **history)
+    return run(tree.scan(spark, root, project, config.exclude), config, only, cache, **history)
 
 
 def filtered(r: Report, baseline: DataFrame | None = None, owasp: list[str] = (), cwe: list[str] = ()) -> Report:
     """The report without what a baseline holds and with the tags asked for; its scores stay."""
     found = ops.taxonomy(r.findings, owasp, cwe)
     if baseline is not None:
-        found = ops.without(found, baseline, ["path", "rule_id", "start"])
+        # A baseline that was read from a report names no project and holds for all.
+        found = ops.without(found, baseline, [k for k in ("project", "path", "rule_id", "start") if k != "project" or k in baseline.columns])
     return Report(found, r.scores, r.stats)

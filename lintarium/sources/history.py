@@ -53,8 +53,7 @@ class History:
         dropped = self._read("dropped", "project string, scan_id string")
         rows = self._read("scans", SCANS).join(dropped, ["project", "scan_id"], "left_anti")
         labels = self._read("labels", "project string, scan_id string, label string, at string")
-        last = newest(labels, ["project", "scan_id"], [F.desc("at")]).select("project", "scan_id", "label")
-        rows = rows.join(last, ["project", "scan_id"], "left")
+        rows = labelled(rows, labels)
         return (rows.where(F.col("project") == project) if project else rows).orderBy("scan_id")
 
     def findings(self, project: str | None = None) -> DataFrame:
@@ -88,6 +87,12 @@ class History:
                 at.getFileSystem(conf).delete(at, True)
 
 
+def labelled(scans: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scans (project, scan_id, ...) with the latest of their labels (project, scan_id, label, at), or null."""
+    last = newest(labels, ["project", "scan_id"], [F.desc("at")]).select("project", "scan_id", "label")
+    return scans.join(last, ["project", "scan_id"], "left")
+
+
 def hashes(files: DataFrame) -> DataFrame:
     """(project, path, content_hash) of every file."""
     return files.select("project", "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))

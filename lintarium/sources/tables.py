@@ -17,6 +17,8 @@ def shared_root(spark: SparkSession) -> str:
     if root is None:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not kept.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintarium-"))
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get()
@@ -28,7 +30,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lintarium_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        if path := getattr(t, "_lintarium_path", None):
+            delete(t.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(old)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, spark._jvm.org.apache.hadoop.fs.Path(new))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

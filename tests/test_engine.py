@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from lintarium.plans import engine, report
+from lintarium.plans import cases, engine, report
 from lintarium.plans.config import Config
 from lintarium.plans.rules import RULES, Project, analyze
 from lintarium.sources import facts, history, tree
@@ -295,11 +295,48 @@ def test_health(spark):
 def test_api_changes(spark):
     old = spark.createDataFrame([("p", "a.py", "python", "def f(a): pass\ndef g(): pass\n", 9)], tree.FILES)
     new = spark.createDataFrame([("p", "a.py", "python", "def f(a, b): pass\n", 9)], tree.FILES)
-    p = Project(new, baseline=facts.parse(old), versions={"project": "p", "old": "1.2.0", "new": "1.3.0"})
+    p = Project(new, baseline=facts.parse(old), versions={"p": ("1.2.0", "1.3.0")})
     got = {r["rule_id"] for r in analyze(p, ["API001-public-symbol-removed", "API002-signature-arity-changed", "API003-semver-alignment"]).collect()}
     assert got == {"API001-public-symbol-removed", "API002-signature-arity-changed", "API003-semver-alignment"}
 
 
+def test_projects_do_not_mix(spark):
+    """Paths that two projects share: no cycle, no suppression, no copy and no baseline goes from one to the other."""
+    text = '"""Doc."""\n\n\ndef f(x):\n    """Says what x is."""\n    return eval(x)\n'
+    rows = [("A", "m.py", "python", text, 60), ("B", "m.py", "python", "# lint: ignore-file SEC002-eval-sink\n" + text, 90), ("A", "pkg/a.py", "python", "import pkg.b\n", 9), ("B", "pkg/b.py", "python", "import pkg.a\n", 9), ("A", "pkg/b.py", "python", "x = 1\n", 9), ("B", "pkg/a.py", "python", "x = 1\n", 9)]
+    r = engine.run(spark.createDataFrame(rows, tree.FILES), only=["SEC002-eval-sink", "CPLX002-cyclic-deps"])
+    assert [(x["project"], x["path"], x["rule_id"]) for x in r.findings.collect()] == [("A", "m.py", "SEC002-eval-sink")]
+    assert r.stats["suppressed"] == 1
+    other = r.findings.withColumn("project", F.lit("B"))
+    assert engine.filtered(r, other).findings.count() == 1 and engine.filtered(r, other.drop("project")).findings.count() == 0
+
+
+def test_every_rule_has_a_case_that_fires_and_one_that_does_not():
+    named = {r for f in cases.FAMILIES.values() for r in f.rules}
+    assert named == {r.id for r in RULES}
+    assert {r[1] for f in cases.FAMILIES.values() for r in cases.rows(f)} == named
+    for f in cases.FAMILIES.values():
+        for rule in f.rules:
+            quiet = set(f.projects) - {p for p, r, *_ in cases.rows(f) if r == rule}
+            assert quiet, rule
+
+
+def test_run_with_a_cache(spark, folder, tmp_path):
+    cache, only = str(tmp_path / "cache"), ["SEC002-eval-sink", "DOC002-todo-fixme"]
+    first = engine.run_tree(spark, str(folder), "demo", only=only, cache=cache)
+    again = engine.run_tree(spark, str(folder), "demo", only=only, cache=cache)
+    plain = engine.run_tree(spark, str(folder), "demo", only=only)
+    key = lambda r: sorted(tuple(x) for x in r.findings.select("path", "line", "rule_id", "message").collect())
+    assert key(first) == key(again) == key(plain)
+    assert first.stats["cache_hits"] == 0 and again.stats["cache_hits"] == again.stats["files_scanned"]
+    # Contents that are gone leave the cache once they are most of it.
+    files = tree.scan(spark, str(folder), "demo")
+    for i in range(4):
+        watch.incremental(files.withColumn("content", F.concat("content", F.lit(f"\n# {i}\n"))), cache, "c")
+    kept = spark.read.parquet(cache).where("kind = 'file'").count()
+    assert kept <= 3 * files.where("language is not null").count() + 16
+
+
 def test_offsets_are_bytes(spark):
     text = "# é\nx = 'ü'\n"
     rows = spark.createDataFrame([("p", "a.py", "python", text, 9)], tree.FILES)

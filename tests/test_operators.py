@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -48,6 +49,28 @@ def test_lines_and_positions(spark):
     assert (p["line"], p["column"]) == (2, 2)
 
 
+def test_lines_of_a_long_file_take_linear_time(spark):
+    rows = [(f"line {i} é" if i % 3 else "") for i in range(150_000)]
+    df = spark.createDataFrame([(1, "\n".join(rows)), (2, "yaml.load(\nx)\n" * 3)], "id int, text string")
+    start = time.perf_counter()
+    got = lines(df, "text", "id", ahead=("YAML.load(", 4)).collect()
+    assert time.perf_counter() - start < 30
+    one = sorted((r["line_no"], r["text"], r["byte_start"]) for r in got if r["id"] == 1)
+    at, want = 0, []
+    for i, row in enumerate(rows, 1):
+        want.append((i, row, at))
+        at += len(row.encode()) + 1
+    assert one == want
+    assert sorted((r["line_no"], bytes(r["rest"])) for r in got if r["rest"] is not None) == [(1, b"x)\ny"), (3, b"x)\ny"), (5, b"x)\n")]
+
+
+def test_imports_stay_inside_their_project(spark):
+    files = spark.createDataFrame([("p", "w/a.js"), ("p", "w/b.ts"), ("q", "w/b.ts"), ("q", "z/c.py")], "project string, path string")
+    imports = spark.createDataFrame([("p", "w/a.js", m) for m in ("./b.js", "../x/b.mjs", "./c", "z.c", "./w/b")] + [("q", "z/c.py", "w.b")], "project string, path string, module string")
+    got = {(r["project"], r["module"], r["dst"]) for r in graph.targets_by_suffix(imports, files, "project").collect()}
+    assert got == {("p", "./b.js", "w/b.ts"), ("p", "../x/b.mjs", "w/b.ts"), ("p", "./c", None), ("p", "z.c", None), ("p", "./w/b", "w/b.ts"), ("q", "w.b", "w/b.ts")}
+
+
 def test_severities(spark):
     df = spark.createDataFrame([(s,) for s in (*severity.SEVERITIES, "odd", None)], "s string")
     got = [tuple(r) for r in df.select(severity.rank(F.col("s")), severity.weight(F.col("s")), severity.heat(F.col("s"))).collect()]
