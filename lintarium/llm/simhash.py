@@ -68,12 +68,14 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = [0, *[1 << i for i in range(64)]]
     wide = [(1 << i) | (1 << j) for h in (0, 32) for i, j in combinations(range(h, h + 32), 2)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = lambda xs: F.lit([signed(x) for x in xs]).cast("array<bigint>")
+    masks = F.lit([signed(x) for x in near + wide]).cast("array<bigint>")
     odd = F.bit_count("fp").bitwiseAND(F.lit(1)) == 1
-    balls = nodes.select("fp", F.explode(F.when(odd, masks(near + wide)).otherwise(masks(near))).alias("mask"))
-    rows = balls.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("v"), "fp")
-    is_near = F.bit_count(F.col("v").bitwiseXOR(F.col("fp"))) <= 1
-    hung = rows.withColumn("u", F.min(F.when(is_near, F.col("fp"))).over(Window.partitionBy("v"))).where("u <> fp").select("u", F.col("fp").alias("v"))
+    balls = nodes.select("fp", F.posexplode(F.when(odd, masks).otherwise(F.slice(masks, 1, len(near)))).alias("i", "mask"))
+    # The number of the mask goes along instead of the fingerprint, which follows from it: rows are as small after a shuffle
+    # into many partitions as into few.
+    rows = balls.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("v"), F.col("i").cast("smallint").alias("i"))
+    least = F.min(F.when(F.col("i") < len(near), F.col("v").bitwiseXOR(F.get(masks, F.col("i"))))).over(Window.partitionBy("v"))
+    hung = rows.withColumn("u", least).where("u is not null").select("u", F.col("v").bitwiseXOR(F.get(masks, F.col("i"))).alias("v")).where("u <> v")
     return written(hung.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct(), "simhash-links")
 
 
