@@ -70,7 +70,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever their names.
+
+    One row of each text as in ``content_sort``: null and empty texts are one group, ties go to the smallest id, of
+    repeated rows one stays, and an empty table gives an empty result.
+    """
     return content_sort(docs, id_col, text_col, carry=True).where("kept").select("_row.*")
 
 

@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     one id are drawn apart. Null is a source of its own. An empty table gives an empty result. ``carry`` adds the whole
     row in a struct ``_row``; then sizes are not written but counted twice, so that the text moves once.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_of(docs, text_col)).alias("size"), *([F.struct("*").alias("_row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_of(docs, text_col)).alias("size"), F.crc32(F.encode(text_of(docs, text_col), "UTF-8")).alias("_crc"), *([F.struct("*").alias("_row")] if carry else []))
     rows = rows if carry else written(rows, "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sums = written(sums, "mix-sources")  # one row a source
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     )
     rows = rows.join(rates, rows["source"].eqNullSafe(rates["_source"]))
     rows = rows.withColumn("_u", _unit(F.lit(seed), F.col("_id"))).withColumn("_stratum", F.floor(F.col("_u") * F.col("_strata")).cast("long"))
-    w = Window.partitionBy("source", "_stratum").orderBy("size", "_u", F.asc_nulls_last("_id"))
+    w = Window.partitionBy("source", "_stratum").orderBy("size", "_u", F.asc_nulls_last("_id"), "_crc")
     rank, start, fraction = F.row_number().over(w), _unit(F.lit(seed), F.col("source"), F.col("_stratum")), F.col("_rate") - F.floor("_rate")
     drawn = F.floor(start + rank * fraction) - F.floor(start + (rank - 1) * fraction)
     out = rows.withColumn("copies", (F.floor("_rate") + drawn).cast("long"))
@@ -70,7 +70,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents with all their columns, each row as often as it is taken."""
+    """The mixed documents with all their columns, whatever their names, each row as often as ``mix`` takes it.
+
+    Null and empty texts have size zero: they are taken as often as their source's rate says and add no words. Rows that
+    share an id are drawn one by one, ordered by their texts; an empty table gives an empty result.
+    """
     drawn = mix(docs, carry=True, **how).where("copies > 0")
     return drawn.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_k"), "_row").select("_row.*")
 

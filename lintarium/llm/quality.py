@@ -65,17 +65,34 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def repeat_words(words: list[bytes], size: int = 5) -> int:
-    """Words inside windows of ``size`` words that occur twice or more, the first occurrence included."""
-    windows = list(zip(*[words[i:] for i in range(size)]))
-    if len(set(windows)) == len(windows):
+    """Words inside windows of ``size`` words that occur twice or more, the first occurrence included.
+
+    Words are numbered, and windows are numbered from those of half their length, so that a window is one number and equal
+    numbers are equal windows; a text of many words costs a few arrays of them.
+    """
+    if len(words) <= size:
+        return 0
+    index: dict[bytes, int] = {}
+    one = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
+    if len(index) == len(words):
+        return 0
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (b.max() + 1) + b, return_inverse=True)[1]
+
+    windows, width = one, 1
+    while width < size:
+        step = min(width, size - width)
+        # The last window of the same length that still ends where the wider one ends.
+        windows = joined(windows[: len(words) - width - step + 1], windows[step : len(words) - width + 1])
+        width += step
+    twice = np.bincount(windows)[windows] > 1
+    if not twice.any():
         return 0
-    counts = Counter(windows)
-    inside = np.zeros(len(words) + 1, np.int64)
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            inside[i] += 1
-            inside[i + size] -= 1
-    return int((np.cumsum(inside) > 0).sum())
+    edges = np.zeros(len(words) + 1, np.int64)
+    edges[: len(twice)] += twice
+    edges[size : size + len(twice)] -= twice
+    return int((np.cumsum(edges) > 0).sum())
 
 
 def histograms(text: str, lang: str | None) -> tuple[list[int], list[int]]:

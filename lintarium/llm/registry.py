@@ -20,4 +20,6 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_sharding": sharding.ORACLE,
+    "op8_warc": warc.ORACLE,
 }

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from lintarium.llm.common import partitions, scratch, ship, text_of, written
 
-#: Lines of an index block; bytes after which a task begins another archive; directory bytes that are sent out at once.
-BLOCK_LINES, ARCHIVE_BYTES, DIRECTORY_BYTES = 1024, 1 << 30, 32 << 20
+#: Lines of an index block; bytes after which a task begins another archive.
+BLOCK_LINES, ARCHIVE_BYTES = 1024, 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_URL = "-"
+#: What the name of an index file's own directory ends in.
+SPARSE = ".blocks"
 
 
 def surt(url: str | None) -> str:
@@ -162,7 +164,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = DA
 def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
     """Sorts captures by key into compressed blocks and returns the directory: a row for each block, with its key range.
 
-    Ranges are parted by key, file and offset, so that one key with very many captures is spread over files too.
+    Ranges are parted by key, file and offset, so that one key with very many captures is spread over files too. Each
+    range is one index file, and beside it lies the sparse directory of its blocks. Captures without a URL have the key
+    ``-``, repeated captures keep a line each, and an empty table gives no file and an empty directory.
     """
     ship(captures.sparkSession)
     order = ("key", "file", "offset")
@@ -170,7 +174,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _store(folder)
         store.create_dir(f"{at}/index", recursive=True)
-        name, out, offset, held = f"index/{uuid.uuid4().hex}.cdx.gz", None, 0, []
+        name, out, offset, held, sparse = f"index/{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
 
         def block(rows: list[tuple]) -> tuple:
             nonlocal out, offset
@@ -179,6 +183,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
             data = z.compress("".join(f"{k}\t{f}\t{o}\t{n}\n" for k, f, o, n in rows).encode()) + z.flush()
             out.write(data)
             offset += len(data)
+            sparse.append(f"{rows[0][0]}\t{rows[-1][0]}\t{offset - len(data)}\t{len(data)}\n")
             return rows[0][0], rows[-1][0], name, offset - len(data), len(data), len(rows)
 
         def table(found: list[tuple]) -> pa.RecordBatch:
@@ -194,61 +199,55 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
             yield table([block(held)])
         if out is not None:
             out.close()
+            with store.open_output_stream(f"{at}/{name}{SPARSE}", compression=None) as f:
+                f.write("".join(sparse).encode())
 
     ranged = captures.select("key", "file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
     return written(ranged.mapInArrow(run, "first string, last string, file string, offset bigint, length bigint, n bigint"), "directory")
 
 
-def _slices(directory: DataFrame, most: int) -> Iterator[list[tuple]]:
-    """The directory in key order, in parts of at most about ``most`` bytes; usually there is one."""
-    held, size = [], 0
-    for r in directory.orderBy("first", "last", "file", "offset").toLocalIterator():
-        held.append(tuple(r[:5]))
-        size += len(r["first"]) + len(r["last"]) + len(r["file"]) + 80
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def lookup(keys: DataFrame, folder: str, directory: DataFrame, directory_bytes: int = DIRECTORY_BYTES) -> DataFrame:
+def lookup(keys: DataFrame, folder: str, directory: DataFrame) -> DataFrame:
     """Records of all captures of the keys in column ``key``: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Keys are made distinct and found in the directory by binary search; each block that holds one is read once by
-    range, searched in turn, and records are read by offset in file order. A directory above ``directory_bytes`` goes
-    out in slices, so what is broadcast is bounded. Keys without a capture give nothing.
+    Keys are made distinct. The key range of each index file, one small row a file, goes to all workers and says in which
+    files a key can be; keys are dealt out by file, and there the file's sparse directory is read and searched by
+    halving, then each block that holds a key, by range. Records are read by offset in file order. What is sent out has
+    a row for each index file, not for each block. Keys without a capture give nothing, and neither do null keys.
     """
     spark: SparkSession = keys.sparkSession
     ship(spark)
     keys = keys.select("key").where("key is not null").distinct()
-    found = None
-    for part in _slices(directory, directory_bytes):
-        sent = spark.sparkContext.broadcast(part)
-
-        def blocks(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            rows = sent.value
-            firsts, lasts = [r[0] for r in rows], [r[1] for r in rows]
-            for b in batches:
-                hits = [(k, i) for k in b.column(0).to_pylist() for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.string()), pa.array([rows[i][2] for _, i in hits], pa.string()), pa.array([rows[i][3] for _, i in hits], pa.int64()), pa.array([rows[i][4] for _, i in hits], pa.int64())], names=["key", "file", "offset", "length"])
-
-        hits = keys.mapInArrow(blocks, "key string, file string, offset bigint, length bigint")
-        found = hits if found is None else found.unionByName(hits)
     columns = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    if found is None:
+    # As many rows as the index has ranges; neighbours share a key at most.
+    top = sorted((r["first"], r["last"], r["file"]) for r in directory.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last")).collect())
+    if not top:
         return spark.createDataFrame([], columns)
+    sent = spark.sparkContext.broadcast(top)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, names = zip(*sent.value)
+        for b in batches:
+            hits = [(k, names[i]) for k in b.column(0).to_pylist() for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.string()), pa.array([f for _, f in hits], pa.string())], names=["key", "file"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, last, sorted_keys, rest = _Reader(), None, [], []
+        reader, at, last, sorted_keys, rest = _Reader(), None, None, [], []
+        firsts, lasts, places = (), (), ()
         for b in batches:
             out = []
-            for key, file, offset, length in zip(*(c.to_pylist() for c in b.columns)):
-                if (file, offset) != last:
-                    last = (file, offset)
-                    rows = zlib.decompress(reader.read(f"{folder}/{file}", offset, length), 31).decode().split("\n")[:-1]
-                    sorted_keys, rest = zip(*(x.split("\t", 1) for x in rows))
-                out += [rest[i].split("\t") for i in range(bisect.bisect_left(sorted_keys, key), bisect.bisect_right(sorted_keys, key))]
+            for key, file in zip(*(c.to_pylist() for c in b.columns)):
+                if file != at:
+                    at = file
+                    store, path = _store(f"{folder}/{file}{SPARSE}")
+                    with store.open_input_file(path) as f:
+                        rows = [x.split("\t") for x in f.read().decode().split("\n")[:-1]]
+                    firsts, lasts, places = [x[0] for x in rows], [x[1] for x in rows], [(int(x[2]), int(x[3])) for x in rows]
+                for offset, length in places[bisect.bisect_left(lasts, key) : bisect.bisect_right(firsts, key)]:
+                    if (file, offset) != last:
+                        last = (file, offset)
+                        rows = zlib.decompress(reader.read(f"{folder}/{file}", offset, length), 31).decode().split("\n")[:-1]
+                        sorted_keys, rest = zip(*(x.split("\t", 1) for x in rows))
+                    out += [rest[i].split("\t") for i in range(bisect.bisect_left(sorted_keys, key), bisect.bisect_right(sorted_keys, key))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([int(x[1]) for x in out], pa.int64()), pa.array([int(x[2]) for x in out], pa.int64())], names=["file", "offset", "length"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +258,10 @@ def lookup(keys: DataFrame, folder: str, directory: DataFrame, directory_bytes:
                 out = [parse(reader.read(f"{folder}/{f}", o, n)) for f, o, n in zip(*(c.to_pylist() for c in b.slice(i, 256).columns))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in kinds.items()], names=list(kinds))
 
-    # The numbers of partitions are given, as pointers are small but what they lead to isn't.
-    pointers = found.repartition(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(lines, "file string, offset bigint, length bigint")
+    # The numbers of partitions are given, as pointers are small but what they lead to isn't. Keys of one index file, of which
+    # there are as many as ranges, are read by one task, or by several where the file has many.
+    found = keys.mapInArrow(files, "key string, file string")
+    pointers = found.repartitionByRange(partitions(spark), "file", "key").sortWithinPartitions("file", "key").mapInArrow(lines, "file string, offset bigint, length bigint")
     return pointers.repartitionByRange(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, columns)
 
 
@@ -285,3 +286,18 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder, directory = archive(pages)
     return lookup(keys_of(pages), folder, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# The digest in base 32: five bits at a time out of the hexadecimal SHA-1.
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(s || '00', CAST(5 * i // 4 + 1 AS INTEGER), 3)) AS INTEGER) // CAST(pow(2, 7 - 5 * i % 4) AS INTEGER)) % 32 + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""

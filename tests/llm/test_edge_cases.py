@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import unicodedata
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lintarium.llm import brown, exact_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
 
@@ -117,3 +123,104 @@ def test_token_cache_holds_several_tokenizers(spark, tmp_path):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json", "word_bpe_49k.json"):
         sizes.append(token_counts.count_tokens(docs, public_tokenizers.path(name), cache).first()["n_tokens"])
     assert sizes[0] == sizes[2] != sizes[1] and spark.read.parquet(cache).count() == 2
+
+
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_repeat_words_are_those_of_all_windows(words, size):
+    windows = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+    counts = Counter(windows)
+    assert quality.repeat_words(words, size) == len({i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(size)})
+
+
+def _distance(p, q):
+    """Jensen-Shannon distance of two histograms in bits."""
+    p, q = [x / (sum(p) or 1) for x in p], [x / (sum(q) or 1) for x in q]
+    part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x)
+    return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+
+def _char_class(c):
+    if c == "\n":
+        return "newline"
+    if c in " \t\r\x0b\x0c":
+        return "space"
+    if c in ".,;:!?'\"-()":
+        return "sentence"
+    kind = unicodedata.category(c)
+    if ord(c) >= 0x3000:
+        return "other"
+    if kind[0] == "N":
+        return "digit"
+    if kind[0] == "L":
+        return ("upper" if kind in ("Lu", "Lt") else "lower") + ("" if c.isascii() else "_other")
+    return "symbol" if c.isascii() else "other"
+
+
+def test_quality_verdicts_match_a_plain_computation(spark):
+    """Base counts, both distances and the verdict, from texts alone; the cuts come from the reference that is summed here."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()] + [(90_001, "x # 東京 " * 60, None), (90_002, "", "en"), (90_003, "of the and to a in is it that was " * 12, "en")]
+    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    base, chars, common = {}, {}, {}
+    for i, text, lang in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        counts = Counter(windows)
+        repeated = len({k + j for k, w in enumerate(windows) if counts[w] > 1 for j in range(5)})
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        base[i] = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeated, len(words) < 10 or 100 * repeated > 20 * len(words))
+        by_class = Counter(map(_char_class, text))
+        chars[i] = [by_class[k] for k in quality.CLASSES]
+        listed = quality.COMMON.get(lang, [])
+        lower = Counter(w.translate({c: c + 32 for c in range(65, 91)}) for w in words)
+        common[i] = [lower[w] for w in listed] + [0] * (quality._BINS - 1 - len(listed)) + [len(words) - sum(lower[w] for w in listed)]
+    group = {i: lang if lang in quality.COMMON else "other" for i, _, lang in rows}
+    total = lambda table, g: [sum(x) for x in zip(*(table[i] for i, *_ in rows if group[i] == g and not base[i][5]))]
+    references = {g: (total(chars, g), total(common, g)) for g in set(group.values())}
+    rejected = 0
+    for i, text, _ in rows:
+        r, (c, w) = found[i], references[group[i]]
+        assert tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == base[i]
+        far, off = (_distance(chars[i], c), _distance(common[i], w)) if c else (0.0, 0.0)
+        kept = not base[i][5] and not (len(text) >= quality.LEAST_CHARS and far > quality.MOST_CHARS)
+        if group[i] != "other":
+            assert r["word_distance"] == pytest.approx(off, abs=1e-9)
+            cuts = quality.word_cuts(np.array(w, float))
+            kept = kept and off <= np.interp(math.log(max(base[i][0], 1)), np.log(quality.SAMPLE_SIZES), cuts)
+        assert r["char_distance"] == pytest.approx(far, abs=1e-9) and r["kept"] == kept
+        rejected += not base[i][5] and not kept
+    assert rejected
+
+
+def test_toxicity_document_scores_match_a_plain_forward_backward(spark):
+    """Emissions from features, marginals by the textbook recursion in plain floats, and the score of the document."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ba", "to", "ri", "me") for b in ("na", "ke", "pi", "du", "so")]
+    rows = [(" ".join([*(rng.choice(words) for _ in range(rng.randint(3, 30))), *(["zunkert", "grobol"] if i % 4 == 0 else [])]).encode(), int(i % 4 == 0)) for i in range(240)]
+    m = toxicity.train(rows)
+    texts = [*(t for t, _ in rows[:60]), b"", b"  ", b"(Zunkert!) zunkig x", b"ba"]
+    scores, marks = m.documents(texts, {})
+    for text, score, got in zip(texts, scores, marks):
+        found = text.split()
+        weight = [math.exp(max(-toxicity.Z, min(toxicity.Z, m.bias + sum(m.weights[int(f[0])].get(f[1:], 0.0) for f in toxicity.features(w))))) for w in found]
+        forward, back = [], [(1.0, 1.0)] * len(found)
+        for i, e in enumerate(weight):
+            a = m.first if i == 0 else [sum(forward[-1][k] * m.step[k, j] for k in (0, 1)) for j in (0, 1)]
+            a = (a[0], a[1] * e)
+            forward.append((a[0] / sum(a), a[1] / sum(a)))
+        for i in range(len(found) - 2, -1, -1):
+            b = [sum(m.step[j, k] * (1.0 if k == 0 else weight[i + 1]) * back[i + 1][k] for k in (0, 1)) for j in (0, 1)]
+            back[i] = (b[0] / sum(b), b[1] / sum(b))
+        p = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, back)]
+        assert np.allclose(got, p, atol=1e-9)
+        x = m.document @ np.array([1.0, max(p, default=0.0), math.log1p(sum(p))])
+        assert score == pytest.approx(1 / (1 + math.exp(-x)))
+
+
+def test_mix_draws_rows_of_one_id_by_their_texts(spark):
+    """Rows that share an id and a size but not the text: reruns over other partitions take the same ones."""
+    rows = [(1, f"w{i} x", "a") for i in range(40)] + [(i, "one two three", "a") for i in range(2, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = [Counter(r["text"] for r in mixing.emit(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert took[0] == took[1] == took[2]
