@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lintarium.functions.severity import weight
@@ -46,15 +46,17 @@ def run(files: DataFrame, config: Config | None = None, only: list[str] | None =
     raw = analyze(project, only)
     if config.disabled:
         raw = raw.where(~F.col("rule_id").isin(*sorted(config.disabled)))
-    raw = written(raw, "findings")
+    # Counted on the way to the one table that is written.
+    before, after = Observation("before"), Observation("after")
+    raw = raw.observe(before, F.count(F.lit(1)).alias("n"))
     marks = ops.directives(project.of("comment").select("project", "path", "line", F.col("attrs")["text"].alias("text")))
-    left = ops.suppress(raw, marks)
+    left = ops.suppress(raw, marks).observe(after, F.count(F.lit(1)).alias("n"))
     final = written(ops.override(left, config.overrides, config.severities), "final")
     totals = files.agg(F.count_if(F.col("language").isNotNull()).alias("files"), F.sum(F.when(F.col("language").isNotNull(), F.col("n_bytes"))).alias("bytes")).first()
     failed = project.of("parse_error").count()
     scores = analytics.scores(final, weight(F.col("severity")), (totals["bytes"] or 0) / 80 / 1000)
-    n_raw, n_left = raw.count(), left.count()
-    return Report(final, scores, {"files_scanned": totals["files"], "parse_failures": failed, "suppressed": n_raw - n_left, **({"cache_hits": hits} if cache else {})})
+    suppressed = before.get.get("n", 0) - after.get.get("n", 0)
+    return Report(final, scores, {"files_scanned": totals["files"], "parse_failures": failed, "suppressed": suppressed, **({"cache_hits": hits} if cache else {})})
 
 
 def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False, cache: str | None = None) -> Report:

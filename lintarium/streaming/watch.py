@@ -31,7 +31,7 @@ def cached_facts(files: DataFrame, cache: str, config: str) -> tuple[DataFrame,
     Entries hold for a content and a configuration. When most of the cache is of contents that are gone it is written
     anew without them.
     """
-    spark = files.sparkSession
+    spark, files = files.sparkSession, files.where(F.col("language").isNotNull())
     known = spark.read.schema(CACHE).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], CACHE)
     missing, held = history.split_by_cache(files, known, config)
     hits = held.select("project", "path").distinct().count()
