@@ -224,3 +224,57 @@ def test_mix_draws_rows_of_one_id_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     took = [Counter(r["text"] for r in mixing.emit(docs.repartition(n)).collect()) for n in (1, 3, 7)]
     assert took[0] == took[1] == took[2]
+
+
+def _near_texts():
+    rng = random.Random(21)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(3000)]
+    base = lambda n: [rng.choice(common) if rng.random() < 0.45 else rng.choice(rare) for _ in range(n)]
+    out = []
+    for size in (1, 1, 1, 2, 2, 3, 5, 8, 40):
+        for _ in range(6):
+            words = base(rng.randint(60, 400))
+            out.append(words)
+            for _ in range(size - 1):
+                copy = list(words)
+                for _ in range(rng.randint(1, max(1, len(words) // 60))):
+                    copy[rng.randrange(len(copy))] = rng.choice(rare)
+                out.append(copy)
+    rng.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_by_five_words(spark):
+    """What goes is in a group of texts with a Jaccard index of 0.8 or more by brute force, each group keeps one, and few are missed."""
+    texts = _near_texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, near_digest string").repartition(7)
+    sets = [frozenset(tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    stay = {r["doc_id"] for r in kept.collect()}
+    assert {root(i) for i in range(len(texts))} <= stay
+    ideal = sum(root(i) != i for i in range(len(texts)))
+    assert ideal > 200 and len(texts) - len(stay) >= 0.9 * ideal
+    assert sorted(simhash.shingles(texts[0]).tolist()) == simhash.shingles(texts[0]).tolist() and len(simhash.shingles(texts[0])) == len(sets[0])
+
+
+def test_near_copies_on_edge_cases(spark):
+    long = " ".join(f"w{i % 977} v{i}" for i in range(3000))
+    rows = [(1, None), (2, ""), (3, " "), (4, "a b"), (5, "A  b"), (6, "a c"), (7, long), (8, long + " end"), (8, long + " end"), (None, long + " stop"), (9, "one two three four five six"), (3, "zwei"), (12, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r["doc_id"], r["text"]) for r in simhash.drop_similar(docs).collect())
+    # Empty texts are near copies of each other and go by the least id; so are texts of the same words, and the long ones.
+    assert left == Counter([(1, None), (4, "a b"), (6, "a c"), (7, long), (9, "one two three four five six"), (3, "zwei")])
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
+    assert simhash.drop_similar(docs.where("doc_id = 9")).count() == 1
