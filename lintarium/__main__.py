@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -14,6 +13,7 @@ from lintarium.plans import engine, report
 from lintarium.session import session
 from lintarium.sources import tree
 from lintarium.sources.history import History
+from lintarium.sources.tables import local_scratch, shared_root
 from lintarium.streaming.watch import watch
 
 KEYS = ["path", "line", "rule_id", "message"]
@@ -40,6 +40,7 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--project", default="project")
     a.add_argument("--git", action="store_true", help="also judge commits and tags")
     a.add_argument("--cache", help="folder of facts of files that were parsed before")
+    a.add_argument("--since", help="a commit; public names of Python that it has are compared with those of now")
     b = sub.add_parser("baseline", help="save a JSON report, of the folder or of a commit")
     b.add_argument("path")
     b.add_argument("output")
@@ -53,13 +54,14 @@ def main(args: list[str] | None = None) -> int:
     w = sub.add_parser("watch", help="analyse again whenever files come")
     w.add_argument("path")
     w.add_argument("--once", action="store_true")
+    w.add_argument("--state", help="folder that keeps what was seen and parsed; the shared folder's if none is named")
     o = top.parse_args(args)
     if o.command == "report":
         print(report.render(o.format, *report.from_json(Path(o.input).read_text())), end="")
         return 0
     spark = session()
     if o.command == "analyze":
-        found = engine.run_tree(spark, o.path, o.project, git=o.git, cache=o.cache)
+        found = engine.run_tree(spark, o.path, o.project, git=o.git, cache=o.cache, since=o.since)
         if o.history:
             History(spark, o.history).record(o.project, found.findings.drop("project"), found.scores, found.stats["files_scanned"])
         base = _findings(spark, o.baseline)[0] if o.baseline else None
@@ -68,9 +70,8 @@ def main(args: list[str] | None = None) -> int:
         Path(o.output).write_text(text) if o.output else print(text, end="")
         return int(bool(o.fail_on) and ops.fails(shown.findings, o.fail_on))
     if o.command == "baseline":
-        with tempfile.TemporaryDirectory() as into:
-            at = tree.snapshot(o.path, o.ref, into) if o.ref else o.path
-            Path(o.output).write_text(engine.run_tree(spark, at).render("json"))
+        at = tree.snapshot(o.path, o.ref, local_scratch(spark, "snapshot")) if o.ref else o.path
+        Path(o.output).write_text(engine.run_tree(spark, at).render("json"))
         return 0
     if o.command == "diff":
         rows = ops.diff(_findings(spark, o.old)[0], _findings(spark, o.new)[0], KEYS).orderBy(*KEYS).collect()
@@ -78,18 +79,18 @@ def main(args: list[str] | None = None) -> int:
             print(f"{x['status']:<10} {x['path']}:{x['line']} {x['rule_id']} {x['message']}")
         return int(any(x["status"] == "new" for x in rows))
 
-    with tempfile.TemporaryDirectory() as state:
+    state = o.state or f"{shared_root(spark)}/watch"
 
-        def again(batch, _) -> None:
-            # Only the files of the burst are parsed, the others come from the cache.
-            if not batch.limit(1).isEmpty():
-                print(engine.run_tree(spark, o.path, cache=f"{state}/facts").render("terminal"), flush=True)
+    def again(batch, _) -> None:
+        # Only the files of the burst are parsed, the others come from the cache.
+        if not batch.limit(1).isEmpty():
+            print(engine.run_tree(spark, o.path, cache=f"{state}/facts").render("terminal"), flush=True)
 
-        q = watch(spark, o.path, f"{state}/stream", again, once=o.once)
-        while q.isActive:
-            time.sleep(0.25)
-        if q.exception():
-            raise q.exception()
+    q = watch(spark, o.path, f"{state}/stream", again, once=o.once)
+    while q.isActive:
+        time.sleep(0.25)
+    if q.exception():
+        raise q.exception()
     return 0
 
 

@@ -14,7 +14,8 @@ from lintarium.plans.config import Config
 from lintarium.plans.rules import Project, analyze
 from lintarium.sources import tree
 from lintarium.sources.history import config_hash
-from lintarium.sources.tables import written
+from lintarium.sources.facts import parse
+from lintarium.sources.tables import local_scratch, written
 from lintarium.streaming import watch
 
 
@@ -59,10 +60,24 @@ def run(files: DataFrame, config: Config | None = None, only: list[str] | None =
     return Report(final, scores, {"files_scanned": totals["files"], "parse_failures": failed, "suppressed": suppressed, **({"cache_hits": hits} if cache else {})})
 
 
-def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False, cache: str | None = None) -> Report:
+def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False, cache: str | None = None, since: str | None = None) -> Report:
+    """A run over a folder; ``git`` adds its commits and tags, and ``since`` names a commit whose public names are compared."""
     config = config or (Config.load(root) if "://" not in root else Config())
-    history = {"commits": tree.git_commits(spark, root, project), "tags": tree.git_tags(spark, root, project)} if git else {}
-    return run(tree.scan(spark, root, project, config.exclude), config, only, cache, **history)
+    files = tree.scan(spark, root, project, config.exclude)
+    more = {"commits": tree.git_commits(spark, root, project), "tags": tree.git_tags(spark, root, project)} if git else {}
+    if since:
+        old = tree.scan(spark, tree.snapshot(root, since, local_scratch(spark, "snapshot")), project, config.exclude)
+        more["baseline"] = written(parse(old), "baseline")
+        then, now = (_version(t) for t in (old, files))
+        if then and now:
+            more["versions"] = {project: (then, now)}
+    return run(files, config, only, cache, **more)
+
+
+def _version(files: DataFrame) -> str | None:
+    """The version that the project's own pyproject.toml declares."""
+    row = tree.manifests(files.where("path = 'pyproject.toml'")).select(F.get_json_object("doc", "$.project.version").alias("v")).first()
+    return row["v"] if row else None
 
 
 def filtered(r: Report, baseline: DataFrame | None = None, owasp: list[str] = (), cwe: list[str] = ()) -> Report:

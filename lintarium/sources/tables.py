@@ -25,6 +25,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def local_scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder as a path of this machine, for tools that know no other; the shared folder must be mounted."""
+    root = shared_root(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise RuntimeError("this needs a shared folder that is mounted as a path")
+    at = f"{root.removeprefix('file://').removeprefix('file:')}/{label}-{uuid.uuid4().hex}"
+    os.makedirs(at)
+    return at
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table after it was written and read again; its lineage ends there."""
     spark = df.sparkSession

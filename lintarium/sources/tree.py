@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import subprocess
+import threading
 import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +25,105 @@ LANGUAGES = {"rs": "rust", "py": "python", "pyi": "python", "js": "js", "jsx": "
 FILES = "project string, path string, language string, content string, n_bytes long"
 
 
+#: Folders that hold no sources of a project. Hidden files that rules ask for; all other hidden ones are skipped.
+SKIPPED = {".git", "node_modules", "target", "__pycache__", ".venv"}
+HIDDEN = re.compile(r"^(\.github(/.*)?|\.gitlab-ci\.yml|\.circleci(/config\.yml)?)$")
+
+
+def ignore_rules(text: str, base: str) -> list[tuple[re.Pattern, bool, bool]]:
+    """(pattern over paths, whether it takes back, whether only folders are meant) of a file of ignore rules in the folder ``base``."""
+    out, prefix = [], f"{base}/" if base else ""
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)\s+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        back, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+        folder, line = line.endswith("/"), line.rstrip("/")
+        if not line:
+            continue
+        anchored = "/" in line
+        glob = (line.removeprefix("/") if anchored else f"**/{line}").replace("{", "[{]")
+        out.append((re.compile("^" + re.escape(prefix) + glob_regex(glob)[1:]), back, folder))
+    return out
+
+
+def ignored(path: str, folder: bool, rules: list[tuple[re.Pattern, bool, bool]]) -> bool:
+    """Whether the last rule that matches, if one does, ignores the path."""
+    for pattern, back, only in reversed(rules):
+        if (folder or not only) and pattern.match(path):
+            return not back
+    return False
+
+
+def walk(store: pafs.FileSystem, base: str, exclude: tuple[str, ...] = ()) -> list[tuple[str, int]]:
+    """(path, bytes) of the files under a folder in order of their path parts; rules of .gitignore and .ignore files hold from their folder on."""
+    globs = [re.compile(glob_regex(g)) for g in exclude]
+    out: list[tuple[str, int]] = []
+
+    def visit(at: str, rules: list) -> None:
+        inside = store.get_file_info(pafs.FileSelector(f"{base}/{at}" if at else base))
+        names = {i.base_name: i for i in inside}
+        for name in (".gitignore", ".ignore"):
+            if name in names:
+                with store.open_input_stream(names[name].path) as f:
+                    rules = [*rules, *ignore_rules(f.read().decode("utf-8", "replace"), at)]
+        for name in sorted(names):
+            path, folder = f"{at}/{name}" if at else name, names[name].type == pafs.FileType.Directory
+            if name in SKIPPED or (name.startswith(".") or HIDDEN.match(path)) and not HIDDEN.match(path) or ignored(path, folder, rules):
+                continue
+            if folder:
+                visit(path, rules)
+            elif not any(g.search(path) for g in globs):
+                out.append((path, names[name].size))
+
+    visit("", [])
+    return out
+
+
 def scan(spark: SparkSession, root: str, project: str = "project", exclude: tuple[str, ...] = ()) -> DataFrame:
     """Files under a folder: (project, path relative to it, language, content, n_bytes).
 
-    Listing and reading are Spark's, so any store works; exclude globs and folders that hold no sources are filtered on
-    the path before contents are decoded. Contents that aren't UTF-8 are null.
+    Names are listed on the driver, where ignore rules and exclude globs cut off whole folders; contents are read by the
+    executors, in tasks of some files each. Spark's own readers pass over names that begin with an underscore or a dot,
+    ``__init__.py`` and ``.github`` among them, so they are used only for stores that Arrow doesn't know, without those
+    files and ignore rules. Contents that aren't UTF-8 are null; hidden files have no language.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
-    rows = raw.withColumn("path", path).where(~F.col("path").rlike(r"(^|/)(\.git|node_modules|target|__pycache__|\.venv)/"))
-    for g in exclude:
-        rows = rows.where(~F.col("path").rlike(glob_regex(g)))
+    try:
+        store, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:")))
+    except (pa.ArrowInvalid, OSError):
+        store = None
+    if store is None:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
+        path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
+        rows = raw.withColumn("path", path).where(~F.col("path").rlike(r"(^|/)(\.git|node_modules|target|__pycache__|\.venv)/"))
+        for g in exclude:
+            rows = rows.where(~F.col("path").rlike(glob_regex(g)))
+        rows = rows.select("path", "content", F.col("length").alias("n_bytes"))
+    else:
+        found = walk(store, base, exclude)
+        ship(spark)
+        tasks = max(1, min(len(found), max(2 * spark.sparkContext.defaultParallelism, sum(n for _, n in found) >> 25)))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                paths, held, size = [], [], 0
+                for path in b.column(0).to_pylist():
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                        held.append(f.read())
+                    paths.append(path)
+                    size += len(held[-1])
+                    if size > 1 << 23:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(held, pa.binary())], names=["path", "content"])
+                        paths, held, size = [], [], 0
+                if paths:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(held, pa.binary())], names=["path", "content"])
+
+        listed = spark.createDataFrame(found, "path string, n long").repartition(tasks).select("path")
+        rows = listed.mapInArrow(read, "path string, content binary").withColumn("n_bytes", F.octet_length("content").cast("long"))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    language = lookup(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)), LANGUAGES)
-    return rows.select(F.lit(project).alias("project"), "path", language.alias("language"), text.alias("content"), F.col("length").alias("n_bytes"))
+    language = F.when(~F.col("path").rlike(r"(^|/)\."), lookup(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)), LANGUAGES))
+    return rows.select(F.lit(project).alias("project"), "path", language.alias("language"), text.alias("content"), "n_bytes")
 
 
 MANIFESTS = "project string, path string, kind string, doc string, error string"
@@ -216,13 +304,30 @@ def sarif_findings(documents: DataFrame, project: str = "project", prefix: str =
 
 
 def run_plugin(command: list[str], cwd: str, timeout: float = 60, most: int = 32 << 20) -> tuple[str, str | None]:
-    """Output of a plugin process on the driver, and what went wrong: binary-missing, timeout, output-too-large, spawn-failed."""
+    """Output of a plugin process on the driver, and what went wrong: binary-missing, timeout, output-too-large, spawn-failed.
+
+    Output is read as it comes, and the process is ended once there is more than ``most`` or the time is over.
+    """
     try:
-        p = subprocess.run(command, cwd=cwd, capture_output=True, timeout=timeout)
+        p = subprocess.Popen(command, cwd=cwd, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL)
     except FileNotFoundError:
         return "", "binary-missing"
-    except subprocess.TimeoutExpired:
-        return "", "timeout"
     except OSError:
         return "", "spawn-failed"
-    return ("", "output-too-large") if len(p.stdout) > most else (p.stdout.decode("utf-8", "replace"), None)
+    late = threading.Event()
+    timer = threading.Timer(timeout, lambda: (late.set(), p.kill()))
+    timer.start()
+    held, size = [], 0
+    try:
+        while part := p.stdout.read1(1 << 16):
+            held.append(part)
+            size += len(part)
+            if size > most:
+                return "", "output-too-large"
+        p.wait()
+    finally:
+        timer.cancel()
+        p.kill()
+        p.wait()
+        p.stdout.close()
+    return ("", "timeout") if late.is_set() else (b"".join(held).decode("utf-8", "replace"), None)

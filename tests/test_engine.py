@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 import xml.dom.minidom
 from datetime import datetime, timezone
 
@@ -337,6 +338,34 @@ def test_run_with_a_cache(spark, folder, tmp_path):
     assert kept <= 3 * files.where("language is not null").count() + 16
 
 
+def test_walk_follows_ignore_rules(spark, tmp_path):
+    texts = {
+        ".gitignore": "# rules\n*.log\n/build/\n!keep.log\ndocs/**/tmp\nliteral{a,b}\n", "a.log": "", "keep.log": "", "build/x.py": "", "pkg/build/x.py": "", "pkg/__init__.py": "x = 1\n", "pkg/.hidden.py": "", "_top.py": "",
+        "pkg/.gitignore": "own.py\n!deep.log\n", "pkg/own.py": "", "pkg/deep.log": "", "own.py": "", "docs/a/tmp/x.py": "", "docs/a/b.py": "", ".github/workflows/ci.yml": "x", ".github/tool.py": "", ".other/x.py": "", ".git/config": "",
+        "node_modules/m.js": "", "sub/.ignore": "*.rs\n", "sub/a.rs": "", "sub/b.js": "", "z.rs": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r["path"]: r["language"] for r in tree.scan(spark, str(tmp_path), exclude=("z.*",)).collect()}
+    assert got == {"keep.log": None, "pkg/build/x.py": "python", "pkg/__init__.py": "python", "_top.py": "python", "pkg/deep.log": None, "own.py": "python", "docs/a/b.py": "python", ".github/workflows/ci.yml": None, ".github/tool.py": None, "sub/b.js": "js"}
+    assert tree.scan(spark, str(tmp_path), exclude=("**",)).count() == 0
+
+
+def test_api_rules_against_a_commit(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.email=a@x", "-c", "user.name=a", *a], check=True, capture_output=True)
+    (tmp_path / "pyproject.toml").write_text('[project]\nname = "demo"\nversion = "1.2.0"\n')
+    (tmp_path / "__init__.py").write_text("def gone():\n    return 1\n")
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    (tmp_path / "pyproject.toml").write_text('[project]\nname = "demo"\nversion = "1.3.0"\n')
+    (tmp_path / "__init__.py").write_text("x = 1\n")
+    only = ["API001-public-symbol-removed", "API003-semver-alignment", "HEALTH003-low-bus-factor"]
+    r = engine.run_tree(spark, str(tmp_path), "demo", only=only, git=True, since="HEAD")
+    assert {x["rule_id"] for x in r.findings.collect()} == set(only)
+
+
 def test_offsets_are_bytes(spark):
     text = "# é\nx = 'ü'\n"
     rows = spark.createDataFrame([("p", "a.py", "python", text, 9)], tree.FILES)
