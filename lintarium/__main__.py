@@ -40,6 +40,7 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--project", default="project")
     a.add_argument("--git", action="store_true", help="also judge commits and tags")
     a.add_argument("--cache", help="folder of facts of files that were parsed before")
+    a.add_argument("--plugins", help="folder of plugins, one in each subfolder")
     a.add_argument("--since", help="a commit; public names of Python that it has are compared with those of now")
     b = sub.add_parser("baseline", help="save a JSON report, of the folder or of a commit")
     b.add_argument("path")
@@ -61,9 +62,9 @@ def main(args: list[str] | None = None) -> int:
         return 0
     spark = session()
     if o.command == "analyze":
-        found = engine.run_tree(spark, o.path, o.project, git=o.git, cache=o.cache, since=o.since)
+        found = engine.run_tree(spark, o.path, o.project, git=o.git, cache=o.cache, since=o.since, programs=o.plugins)
         if o.history:
-            History(spark, o.history).record(o.project, found.findings.drop("project"), found.scores, found.stats["files_scanned"])
+            History(spark, o.history).record(o.project, found.findings.drop("project"), found.scores, found.stats["files_scanned"], parse_failures=found.stats["parse_failures"])
         base = _findings(spark, o.baseline)[0] if o.baseline else None
         shown = engine.filtered(found, base, o.owasp, o.cwe)
         text = shown.render(o.format)

@@ -130,3 +130,14 @@ def version(text: Column) -> Column:
     parts = F.split(F.regexp_replace(F.trim(text), "^[vV]", ""), r"[.\-+]")
     number = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(0))
     return F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"))
+
+
+def query_pairs(url: Column) -> Column:
+    """The decoded pairs of a URL's query as (name, value), in order; + is a blank, a name without = has an empty value.
+
+    What can't be decoded stays as it is; the fragment isn't part of the query.
+    """
+    query = F.regexp_extract(F.regexp_replace(url, r"#.*$", ""), r"\?(.*)$", 1)
+    parts = F.filter(F.split(query, "&"), lambda x: x != "")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    return F.transform(parts, lambda x: F.struct(plain(F.regexp_extract(x, r"^([^=]*)", 1)).alias("name"), plain(F.regexp_extract(x, r"=(.*)$", 1)).alias("value")))

@@ -46,10 +46,10 @@ def top_files(findings: DataFrame, file: str, weight: Column, n: int = 10) -> Da
     return out.orderBy(F.desc("n"), F.asc(file)).limit(n)
 
 
-def heatmap(findings: DataFrame, scan: str, file: str, weight: Column, n: int | None = 25) -> DataFrame:
-    """(file, findings, weight, peak, last_scan) over all scans, heaviest first, ties by file."""
+def heatmap(findings: DataFrame, scan: str, file: str, weight: Column, n: int | None = 25, scans: list | None = None) -> DataFrame:
+    """(file, findings, weight, peak, last_scan) over all scans, heaviest first, ties by file; with ``scans`` also per_scan, the findings in each of them."""
     by_scan = findings.groupBy(file, scan).agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
-    out = by_scan.groupBy(file).agg(F.sum("_n").alias("findings"), F.sum("_w").cast("long").alias("weight"), F.max("_n").alias("peak"), F.max(scan).alias("last_scan"))
+    out = by_scan.groupBy(file).agg(F.sum("_n").alias("findings"), F.sum("_w").cast("long").alias("weight"), F.max("_n").alias("peak"), F.max(scan).alias("last_scan"), *([F.array(*[F.coalesce(F.sum(F.when(F.col(scan) == s, F.col("_n"))), F.lit(0)) for s in scans]).alias("per_scan")] if scans else []))
     return out.orderBy(F.desc("weight"), F.asc(file)).limit(n) if n else out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintarium.functions.severity import grade, lookup
-from lintarium.functions.text import lines, plain_lines
+from lintarium.functions.text import lines, plain_lines, query_pairs
 from lintarium.operators import findings as ops
 from lintarium.operators import graph, sequences, similarity
 from lintarium.plans import analytics, cases, rules
@@ -491,6 +491,14 @@ def threshold_rule(spark, sf):
     return part.select("p_partkey", (F.col("p_size") > 30).alias("over"), grade(F.col("p_size") * 2).alias("grade"))
 
 
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?id=' || page_id || '&q=a%20b+' || page_id % 7 || '&flag#top' AS u FROM pages)
+    SELECT page_id, unnest(['id', 'q', 'flag']) AS name, unnest([CAST(page_id AS VARCHAR), 'a b ' || page_id % 7, '']) AS value FROM u""")
+def query_string(spark, sf):
+    page = F.col("page_id").cast("string")
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?id="), page, F.lit("&q=a%20b+"), (F.col("page_id") % 7).cast("string"), F.lit("&flag#top"))
+    return table(spark, sf, "pages").select("page_id", F.inline(query_pairs(url)))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.missing') IS NOT NULL AS there FROM events")
 def json_pointer(spark, sf):
     docs = table(spark, sf, "events").withColumn("doc", F.col("props"))

@@ -12,7 +12,7 @@ from lintarium.operators import findings as ops
 from lintarium.plans import analytics, report
 from lintarium.plans.config import Config
 from lintarium.plans.rules import Project, analyze
-from lintarium.sources import tree
+from lintarium.sources import plugins, tree
 from lintarium.sources.history import config_hash
 from lintarium.sources.facts import parse
 from lintarium.sources.tables import local_scratch, written
@@ -33,8 +33,8 @@ class Report:
         return report.render(kind, report.rows_of(self.findings), self.scored(), **more)
 
 
-def run(files: DataFrame, config: Config | None = None, only: list[str] | None = None, cache: str | None = None, **history) -> Report:
-    """Findings, scores and counts of a table of files.
+def run(files: DataFrame, config: Config | None = None, only: list[str] | None = None, cache: str | None = None, extra: DataFrame | None = None, **history) -> Report:
+    """Findings, scores and counts of a table of files; ``extra`` are findings from elsewhere, which are treated alike.
 
     With ``cache``, a folder of facts, only files that it doesn't know with this content and configuration are parsed.
 
@@ -45,6 +45,8 @@ def run(files: DataFrame, config: Config | None = None, only: list[str] | None =
     known, hits = watch.cached_facts(files, cache, config_hash({**vars(config), "disabled": sorted(config.disabled)})) if cache else (None, None)
     project = Project(files, config.thresholds, given=known, **history)
     raw = analyze(project, only)
+    if extra is not None:
+        raw = ops.union([raw, extra.select(*raw.columns)])
     if config.disabled:
         raw = raw.where(~F.col("rule_id").isin(*sorted(config.disabled)))
     # Counted on the way to the one table that is written.
@@ -60,8 +62,8 @@ def run(files: DataFrame, config: Config | None = None, only: list[str] | None =
     return Report(final, scores, {"files_scanned": totals["files"], "parse_failures": failed, "suppressed": suppressed, **({"cache_hits": hits} if cache else {})})
 
 
-def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False, cache: str | None = None, since: str | None = None) -> Report:
-    """A run over a folder; ``git`` adds its commits and tags, and ``since`` names a commit whose public names are compared."""
+def run_tree(spark: SparkSession, root: str, project: str = "project", config: Config | None = None, only: list[str] | None = None, git: bool = False, cache: str | None = None, since: str | None = None, programs: str | None = None) -> Report:
+    """A run over a folder; ``git`` adds its commits and tags, ``since`` names a commit whose public names are compared, and ``programs`` is a folder of plugins."""
     config = config or (Config.load(root) if "://" not in root else Config())
     files = tree.scan(spark, root, project, config.exclude)
     more = {"commits": tree.git_commits(spark, root, project), "tags": tree.git_tags(spark, root, project)} if git else {}
@@ -71,7 +73,8 @@ def run_tree(spark: SparkSession, root: str, project: str = "project", config: C
         then, now = (_version(t) for t in (old, files))
         if then and now:
             more["versions"] = {project: (then, now)}
-    return run(files, config, only, cache, **more)
+    found = [plugins.findings(p, root, files, project) for p in plugins.discover(programs)] if programs else []
+    return run(files, config, only, cache, ops.union(found) if found else None, **more)
 
 
 def _version(files: DataFrame) -> str | None:

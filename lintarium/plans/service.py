@@ -39,8 +39,9 @@ def summary(h: History, project: str) -> dict:
     """The latest scan and what changed since the one before: counts by severity, scores and the total."""
     last = [r["scan_id"] for r in h.scans(project).orderBy(F.desc("scan_id")).limit(2).collect()]
     if not last:
-        return {"project": project, "latest": None, "delta": None}
-    out = {"project": project, "latest": last[0], "delta": None}
+        return {"project": project, "latest": None, "delta": None, "parse_failure_total": 0}
+    failed = h.scans(project).agg(F.sum("parse_failures").alias("n")).first()["n"]
+    out = {"project": project, "latest": last[0], "delta": None, "parse_failure_total": failed or 0}
     if len(last) == 2:
         rows = analytics.delta(_kept(h, project), F.col("scan_id"), "severity", last[1], last[0]).collect()
         s = h.scores(project).groupBy("dimension").agg(*[F.max(F.when(F.col("scan_id") == i, F.col("score"))).alias(n) for i, n in ((last[1], "old"), (last[0], "new"))]).collect()
@@ -61,7 +62,9 @@ def trends(h: History, project: str) -> DataFrame:
 
 
 def heatmap(h: History, project: str, n: int = 25) -> DataFrame:
-    return analytics.heatmap(_kept(h, project), "scan_id", "path", heat(F.col("severity")), n)
+    """The heaviest files with their findings in each scan, in order of the scans."""
+    scans = [r["scan_id"] for r in h.scans(project).select("scan_id").collect()]  # as many as the history keeps
+    return analytics.heatmap(_kept(h, project), "scan_id", "path", heat(F.col("severity")), n, scans)
 
 
 def diagnostics(findings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lintarium.operators.sequences import newest
 from lintarium.sources.tables import exists
 
-SCANS = "project string, scan_id string, captured_at string, config_hash string, total long, files long"
+SCANS = "project string, scan_id string, captured_at string, config_hash string, total long, files long, parse_failures long"
 
 
 def config_hash(config: dict) -> str:
@@ -29,7 +29,7 @@ class History:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def record(self, project: str, findings: DataFrame, scores: DataFrame, files: int = 0, config: dict | None = None, at: datetime | None = None) -> str:
+    def record(self, project: str, findings: DataFrame, scores: DataFrame, files: int = 0, config: dict | None = None, at: datetime | None = None, parse_failures: int = 0) -> str:
         """Appends a scan and returns its id, which sorts by time."""
         when = (at or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
         ident = f"{when}-{hashlib.sha256(f'{project}{when}'.encode()).hexdigest()[:6]}"
@@ -37,7 +37,7 @@ class History:
         findings.withColumns(keys).write.mode("append").partitionBy("project", "scan_id").parquet(f"{self.path}/findings")
         scores.withColumns(keys).write.mode("append").partitionBy("project", "scan_id").parquet(f"{self.path}/scores")
         total = self.findings(project).where(F.col("scan_id") == ident).count()
-        row = [(project, ident, when, config_hash(config or {}), total, files)]
+        row = [(project, ident, when, config_hash(config or {}), total, files, parse_failures)]
         self.spark.createDataFrame(row, SCANS).coalesce(1).write.mode("append").partitionBy("project").parquet(f"{self.path}/scans")
         return ident
 

@@ -9,14 +9,15 @@ import subprocess
 import threading
 import tomllib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintarium.functions.severity import lookup
+from lintarium.functions.severity import SEVERITIES, lookup
 from lintarium.functions.text import glob_regex
 from lintarium.sources.tables import ship
 
@@ -268,39 +269,80 @@ def snapshot(root: str, ref: str, into: str) -> str:
     return into
 
 
-NDJSON = "rule_id string, severity string, message string, file string, line int, column int, dimension string, _bad string"
+NDJSON = "rule_id string, severity string, message string, file string, line int, dimension string, col int, end_line int, end_col int, byte_offset_start int, byte_offset_end int, details string, cwe array<string>, owasp array<string>, _bad string"
+_FIELDS = [x.split()[0] for x in NDJSON.split(", ")[:-1]]
+
+
+def _prefixed(prefix: str, rule: Column) -> Column:
+    return F.when(F.startswith(rule, F.lit(prefix)), rule).otherwise(F.concat(F.lit(prefix), rule))
 
 
 def plugin_findings(lines: DataFrame, plugin: str, project: str = "project", prefix: str = "") -> DataFrame:
-    """Findings from NDJSON lines (column ``value``); a bad line becomes a finding that says so."""
+    """Findings from NDJSON lines (column ``value``), with col, and start and end where the line gives offsets.
+
+    A line must have an id, a known severity, a file, a line, a message and a dimension, and no unknown fields; a bad line
+    becomes a finding that says so. Blank lines are skipped, and ids get the prefix unless they have it.
+    """
     j = F.from_json("value", NDJSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = lines.where(F.trim("value") != "").select("value", j.alias("j"))
-    bad = F.col("j").isNull() | F.col("j._bad").isNotNull() | F.col("j.rule_id").isNull()
+    rows = lines.where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select("value", j.alias("j"), F.json_object_keys("value").alias("k"))
+    lacks = reduce(lambda a, b: a | b, [F.col(f"j.{f}").isNull() for f in _FIELDS[:6]])
+    extra = F.size(F.array_except("k", F.array(*map(F.lit, _FIELDS)))) > 0
+    bad = F.coalesce(F.col("j").isNull() | F.col("j._bad").isNotNull() | lacks | ~F.col("j.severity").isin(*SEVERITIES) | (F.col("j.line") < 0) | F.col("k").isNull() | extra, F.lit(True))
+    good = lambda c: F.when(~bad, F.col(f"j.{c}"))
     return rows.select(
         F.lit(project).alias("project"),
-        F.when(bad, f"PLUGIN/{plugin}-output-parse-error").otherwise(F.concat(F.lit(prefix), F.col("j.rule_id"))).alias("rule_id"),
-        F.coalesce(F.when(~bad, F.col("j.dimension")), F.lit("plugin")).alias("dimension"),
-        F.coalesce(F.when(~bad, F.lower("j.severity")), F.lit("info")).alias("severity"),
-        F.coalesce(F.when(~bad, F.col("j.file")), F.lit("")).alias("path"),
-        F.coalesce(F.when(~bad, F.col("j.line")), F.lit(1)).alias("line"),
+        F.when(bad, f"PLUGIN/{plugin}-output-parse-error").otherwise(_prefixed(prefix, F.col("j.rule_id"))).alias("rule_id"),
+        F.coalesce(good("dimension"), F.lit("plugin")).alias("dimension"),
+        F.coalesce(good("severity"), F.lit("medium")).alias("severity"),
+        F.coalesce(good("file"), F.lit("")).alias("path"),
+        F.greatest(F.coalesce(good("line"), F.lit(1)), F.lit(1)).alias("line"),
         F.when(bad, F.substring("value", 1, 200)).otherwise(F.coalesce("j.message", F.lit(""))).alias("message"),
+        F.greatest(F.coalesce(good("col"), F.lit(1)), F.lit(1)).alias("col"),
+        good("byte_offset_start").cast("long").alias("start"),
+        good("byte_offset_end").cast("long").alias("end"),
+        F.coalesce(good("cwe"), F.array().cast("array<string>")).alias("cwe"),
+        F.coalesce(good("owasp"), F.array().cast("array<string>")).alias("owasp"),
     )
 
 
-_REGION = "physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
+def located(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings (project, path, line, col, start, end) with offsets: given ones stay, others are at line and column of the file.
+
+    A column beyond the file, or a line that it doesn't have, is its end; without the file offsets are 0. One equi join.
+    """
+    texts = files.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("content").alias("_c"))
+    rows = found.join(texts, (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_f")), "left")
+    before = F.expr("CASE WHEN line > 1 THEN octet_length(substring_index(_c, '\n', line - 1)) + 1 ELSE 0 END")
+    at = F.least(before + F.col("col") - 1, F.octet_length("_c")).cast("long")
+    start = F.coalesce("start", at, F.lit(0).cast("long"))
+    return rows.withColumns({"start": start, "end": F.coalesce("end", start)}).drop("_p", "_f", "_c")
+
+
+_REGION = "physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int, byteOffset: int, byteLength: int>>"
 SARIF = f"runs array<struct<results: array<struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<{_REGION}>>>>>>"
 
 
-def sarif_findings(documents: DataFrame, project: str = "project", prefix: str = "") -> DataFrame:
-    """Findings from SARIF documents (column ``value``): error, warning and note become high, medium and low, others info."""
-    runs = documents.select(F.explode(F.from_json("value", SARIF)["runs"]).alias("r"))
-    r = runs.select(F.explode("r.results").alias("x"))
+def sarif_findings(documents: DataFrame, project: str = "project", prefix: str = "", plugin: str = "sarif") -> DataFrame:
+    """Findings from SARIF documents (column ``value``): error, warning and note become high, medium and low, others info.
+
+    A document that can't be read becomes a finding that says so.
+    """
+    parsed = documents.select("value", F.from_json("value", SARIF)["runs"].alias("runs"))
+    none = F.array().cast("array<string>")
+    broken = parsed.where("runs is null").select(
+        F.lit(project).alias("project"), F.lit(f"PLUGIN/{plugin}-output-parse-error").alias("rule_id"), F.lit("plugin").alias("dimension"), F.lit("medium").alias("severity"), F.lit("").alias("path"), F.lit(1).alias("line"),
+        F.substring("value", 1, 200).alias("message"), F.lit(1).alias("col"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), none.alias("cwe"), none.alias("owasp"),
+    )
+    r = parsed.select(F.explode("runs").alias("r")).select(F.explode("r.results").alias("x"))
     place = F.try_element_at(F.col("x.locations"), F.lit(1))["physicalLocation"]
-    return r.select(
-        F.lit(project).alias("project"), F.concat(F.lit(prefix), F.coalesce("x.ruleId", F.lit("unknown"))).alias("rule_id"), F.lit("plugin").alias("dimension"),
+    region = place["region"]
+    found = r.select(
+        F.lit(project).alias("project"), _prefixed(prefix, F.coalesce("x.ruleId", F.lit("unknown"))).alias("rule_id"), F.lit("plugin").alias("dimension"),
         lookup(F.col("x.level"), {"error": "high", "warning": "medium", "note": "low"}, "info").alias("severity"),
-        F.coalesce(place["artifactLocation"]["uri"], F.lit("")).alias("path"), F.coalesce(place["region"]["startLine"], F.lit(1)).alias("line"), F.coalesce("x.message.text", F.lit("")).alias("message"),
+        F.coalesce(place["artifactLocation"]["uri"], F.lit("")).alias("path"), F.greatest(F.coalesce(region["startLine"], F.lit(1)), F.lit(1)).alias("line"), F.coalesce("x.message.text", F.lit("")).alias("message"),
+        F.greatest(F.coalesce(region["startColumn"], F.lit(1)), F.lit(1)).alias("col"), region["byteOffset"].cast("long").alias("start"), (region["byteOffset"] + region["byteLength"]).cast("long").alias("end"), none.alias("cwe"), none.alias("owasp"),
     )
+    return found.unionByName(broken)
 
 
 def run_plugin(command: list[str], cwd: str, timeout: float = 60, most: int = 32 << 20) -> tuple[str, str | None]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lintarium.plans import cases, engine, report
 from lintarium.plans.config import Config
 from lintarium.plans.rules import RULES, Project, analyze
-from lintarium.sources import facts, history, tree
+from lintarium.sources import facts, history, plugins, tree
 from lintarium.streaming import watch
 
 PY = '''"""Module."""
@@ -274,9 +274,9 @@ def test_watch(spark, folder, tmp_path):
 
 
 def test_plugins(spark):
-    lines = spark.createDataFrame([('{"rule_id": "X1", "severity": "high", "message": "m", "file": "a", "line": 3}',), ("not json",), ("",)], "value string")
+    lines = spark.createDataFrame([('{"rule_id": "X1", "severity": "high", "message": "m", "file": "a", "line": 3, "dimension": "security"}',), ("not json",), ("",)], "value string")
     got = {(r["rule_id"], r["severity"], r["path"], r["line"]) for r in tree.plugin_findings(lines, "demo", prefix="D-").collect()}
-    assert got == {("D-X1", "high", "a", 3), ("PLUGIN/demo-output-parse-error", "info", "", 1)}
+    assert got == {("D-X1", "high", "a", 3), ("PLUGIN/demo-output-parse-error", "medium", "", 1)}
     doc = {"runs": [{"results": [{"ruleId": "R", "level": "error", "message": {"text": "t"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "f"}, "region": {"startLine": 2}}}]}, {"ruleId": "S", "level": "odd", "message": {"text": "u"}}]}]}
     sarif = tree.sarif_findings(spark.createDataFrame([(json.dumps(doc),)], "value string"))
     assert {(r["rule_id"], r["severity"], r["path"], r["line"]) for r in sarif.collect()} == {("R", "high", "f", 2), ("S", "info", "", 1)}
@@ -285,6 +285,35 @@ def test_plugins(spark):
     assert tree.run_plugin(["echo", "hello"], "/", most=2) == ("", "output-too-large")
 
 
+def test_plugins_run_with_the_engine(spark, tmp_path):
+    src, home = tmp_path / "src", tmp_path / "plugins"
+    src.mkdir()
+    (src / "a.py").write_text("x = 1\n\nypsilon = 2\n")
+    line = {"rule_id": "ONE", "severity": "high", "message": "m", "file": "./a.py", "line": 3, "dimension": "security", "col": 3, "cwe": ["CWE-1"]}
+    given = {**line, "rule_id": "good/TWO", "byte_offset_start": 1, "byte_offset_end": 4}
+    bad = [{**line, "odd": 1}, {**line, "severity": "awful"}, {k: v for k, v in line.items() if k != "dimension"}]
+    doc = {"runs": [{"results": [{"ruleId": "R", "level": "error", "message": {"text": "t"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": str(src / "a.py")}, "region": {"startLine": 3, "startColumn": 2}}}]}]}]}
+    scripts = {
+        "good": ("ndjson", "\n".join(json.dumps(x) for x in [line, given, *bad]) + "\n\n"), "doc": ("sarif", json.dumps(doc)), "broken": ("sarif", "{"), "long": ("ndjson", "x" * 5000),
+    }
+    for name, (output, text) in scripts.items():
+        (home / name).mkdir(parents=True)
+        (home / name / "out.txt").write_text(text)
+        (home / name / "run.sh").write_text(f"#!/bin/sh\ncat '{home / name / 'out.txt'}'\n")
+        (home / name / "run.sh").chmod(0o755)
+        (home / name / plugins.MANIFEST).write_text(f'version = "1"\noutput = "{output}"\ncommand = ["run.sh"]\nmax_output_bytes = 4000\n')
+    (home / "gone").mkdir()
+    (home / "gone" / plugins.MANIFEST).write_text('version = "1"\noutput = "sarif"\ncommand = ["no-such-program"]\n')
+    r = engine.run_tree(spark, str(src), "demo", only=["DOC002-todo-fixme"], programs=str(home))
+    got = sorted((x["rule_id"], x["severity"], x["path"], x["line"], x["start"], x["end"]) for x in r.findings.collect())
+    wrong = ("PLUGIN/good-output-parse-error", "medium", "", 1, 0, 0)
+    assert got == sorted([("good/ONE", "high", "a.py", 3, 9, 9), ("good/TWO", "high", "a.py", 3, 1, 4), wrong, wrong, wrong, ("doc/R", "high", "a.py", 3, 8, 8), ("PLUGIN/broken-output-parse-error", "medium", "", 1, 0, 0), ("PLUGIN/long-output-too-large", "medium", "", 1, 0, 0), ("PLUGIN/gone-binary-missing", "info", "", 1, 0, 0)])
+    for text in ('name = "A b"\nversion = "1"\noutput = "sarif"\ncommand = ["x"]', 'output = "sarif"\ncommand = ["x"]', 'version = "1"\noutput = "xml"\ncommand = ["x"]', 'version = "1"\noutput = "sarif"\ncommand = []', 'version = "1"\noutput = "sarif"\ncommand = ["x"]\ntimeout_seconds = 0', 'version = "1"\nodd = 1'):
+        with pytest.raises(ValueError):
+            plugins.Plugin.load(text, "/x/fine")
+    assert plugins.discover(str(tmp_path / "none")) == []
+
+
 def test_health(spark):
     files = spark.createDataFrame([("p", "pyproject.toml", None, PYPROJECT, 9)], tree.FILES)
     commits = tree.commits(spark.createDataFrame([("a@x|2023-01-01T00:00:00+00:00",), ("a@x|2023-01-02T00:00:00+00:00",), ("b@x|2023-01-03T00:00:00Z",), ("broken",)], "value string"), "p")

@@ -20,7 +20,7 @@ def stored(spark, tmp_path_factory):
     row = lambda path, severity, line: (path, f"R-{severity}", "security", severity, "m", 0, 1, line, ["CWE-1"], [])
     scans = [[row("a", "high", 1), row("b", "low", 2)], [row("a", "high", 1), row("a", "critical", 3)], []]
     scores = spark.createDataFrame([("security", 90.0)], "dimension string, score double")
-    ids = [h.record("p", spark.createDataFrame(s, FINDINGS), scores, at=datetime(2024, 1, i + 1, tzinfo=timezone.utc)) for i, s in enumerate(scans)]
+    ids = [h.record("p", spark.createDataFrame(s, FINDINGS), scores, at=datetime(2024, 1, i + 1, tzinfo=timezone.utc), parse_failures=i) for i, s in enumerate(scans)]
     return h, ids
 
 
@@ -29,6 +29,7 @@ def test_summaries_and_trends(stored):
     assert service.projects(h).first()["scans"] == 3
     s = service.summary(h, "p")
     assert s["latest"] == ids[2] and s["delta"]["findings"] == -2 and s["delta"]["severity"] == {"high": -1, "critical": -1} and s["delta"]["scores"] == {"security": 0.0}
+    assert s["parse_failure_total"] == 3 and [r["per_scan"] for r in service.heatmap(h, "p").collect()] == [[1, 2, 0], [1, 0, 0]]
     assert [(r["high"], r["low"], r["critical"], r["total"]) for r in service.trends(h, "p").collect()] == [(1, 1, 0, 2), (1, 0, 1, 2), (0, 0, 0, 0)]
     assert [(r["path"], r["findings"], r["weight"], r["peak"], r["last_scan"]) for r in service.heatmap(h, "p").collect()] == [("a", 3, 40, 2, ids[1]), ("b", 1, 2, 1, ids[0])]
     assert {(r["path"], r["line"], r["status"]) for r in service.scan_diff(h, "p", ids[0], ids[1]).collect()} == {("a", 1, "persisting"), ("b", 2, "resolved"), ("a", 3, "new")}
