@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -61,6 +62,12 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows and bytes of a batch that goes to a Python worker: a few thousand texts are held as objects at once, not more.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 

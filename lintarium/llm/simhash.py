@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintarium.llm.common import forget, fresh, ship, text_of, written
+from lintarium.llm.common import forget, fresh, release, ship, text_of, written
 from lintarium.llm.components import components
 
 #: Radius; words of a shingle.
@@ -91,6 +91,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_digest").alias("digest")))
     nodes = written(prints.groupBy("fp").agg(least.alias("least")), "simhash-nodes")
     edges = links(nodes.select("fp"))
+    # The balls that were shuffled are no longer needed.
+    release(prints.sparkSession)
     groups = components(edges)
     placed = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "simhash-placed")
@@ -223,6 +225,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     apart = sum((F.bit_count(F.col("uf")[i].bitwiseXOR(F.col("vf")[i])) for i in range(TABLES)), F.lit(0))
     near = _candidates(texts.select("n", "fps")).toDF("pu", "pv").join(one, F.col("pu") == F.col("un")).join(two, F.col("pv") == F.col("vn"))
     pairs = written(near.where(apart <= TABLES * 64 // 10).select("u", "v"), "similar-pairs")
+    del near
+    release(docs.sparkSession)
 
     wanted = written(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "w"), "similar-wanted")
     rep = texts.select(F.col("_digest").alias("rd"), F.col("least.id").alias("ri")).join(wanted, F.col("rd") == F.col("w"), "left_semi")

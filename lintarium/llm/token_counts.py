@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintarium.llm.common import SPACE, WORDS, scratch, ship, text_of, written
+from lintarium.llm.common import SPACE, WORDS, release, scratch, ship, text_of, written
 
 #: Words whose counts a worker keeps; a full table is emptied. Longer words are never kept.
 KEPT_WORDS, LONGEST_KEPT = 500_000, 64
@@ -148,17 +148,25 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     with open(tokenizer, "rb") as f:
         data = f.read()  # a few MB by its kind
     version, cache = version_of(data), cache or scratch(spark, "token-cache")
-    vocabulary = spark.sparkContext.broadcast(data)
-    text = text_of(docs, text_col)
-    check = F.xxhash64(text).alias("_check")
-    spaces = by_word(data)
+    text, spaces = text_of(docs, text_col), by_word(data)
     norm = F.trim(F.regexp_replace(text, F.lit(SPACE + "+"), F.lit(" "))) if spaces else text
-    meta = written(docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(norm, 256).alias("digest"), check), "token-digests")
+    meta = docs.select(docs[id_col].alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(norm, 256).alias("digest"), F.xxhash64(text).alias("_check"))
+    meta = written(meta, "token-digests")
+    _add_missing(docs.select(docs[id_col].alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_check")), meta, data, version, cache)
+    # The texts that were dealt out are no longer needed.
+    release(spark)
+    # Written, so that the join deals out both sides itself and may split a digest that very many rows share.
+    entries = written(load_cache(spark, cache, version), "token-entries")
+    out = meta.join(entries, "digest", "left")
+    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
 
-    known = load_cache(spark, cache, version)
+def _add_missing(texts: DataFrame, meta: DataFrame, data: bytes, version: str, cache: str) -> None:
+    """Counts one text (_id, _text, _check) of each digest that the cache lacks and appends the entries."""
+    spark, spaces = texts.sparkSession, by_word(data)
+    vocabulary = spark.sparkContext.broadcast(data)
     one = meta.groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_check").alias("c"))).alias("_one"))
-    missing = one.join(known, "digest", "left_anti").select(F.col("_one.i").alias("_i"), F.col("_one.c").alias("_c"))
-    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), check)
+    missing = one.join(load_cache(spark, cache, version), "digest", "left_anti").select(F.col("_one.i").alias("_i"), F.col("_one.c").alias("_c"))
     fetched = texts.join(missing.hint("shuffle_hash"), texts["_id"].eqNullSafe(F.col("_i")) & (texts["_check"] == F.col("_c")), "left_semi").select("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +177,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     counted = fetched.mapInArrow(run, "digest string, n_tokens bigint")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    # Written, so that the join deals out both sides itself and may split a digest that very many rows share.
-    entries = written(load_cache(spark, cache, version), "token-entries")
-    out = meta.join(entries, "digest", "left")
-    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def default_tokenizer() -> str:
