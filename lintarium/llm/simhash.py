@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintarium.llm.common import forget, fresh, release, ship, text_of, written
@@ -175,6 +175,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def _number(digest: str) -> Column:
+    """60 bits of a digest, which number a text among candidates; should two texts share them, both are compared."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def _candidates(prints: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, of numbers of texts that some table brings within 2 bits. prints: (n, fps), a row a text.
 
@@ -198,7 +203,7 @@ def _candidates(prints: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, best) of every text that has a near copy: its MD5, and the (id, digest) that its group goes by.
+    """(digest, copies, best) of every text that has a near copy: its MD5, its rows, and the (id, digest) that its group goes by.
 
     Two texts are near copies when the Jaccard index of their sets of ``words``-word shingles is ``similarity`` or more.
     Candidates come from ``TABLES`` word fingerprints by balls (``_candidates``); a pair goes on if all fingerprints
@@ -218,9 +223,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
 
     prints = written(rows.mapInArrow(run, f"_id {kind}, _digest string, fps array<bigint>"), "similar")
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
-    # 60 bits of the digest number a text among candidates; should two texts share them, both are compared.
-    number = F.conv(F.substring("_digest", 1, 15), 16, 10).cast("long")
-    texts = written(prints.groupBy("_digest").agg(least.alias("least"), F.first("fps").alias("fps")).withColumn("n", number), "similar-texts")
+    texts = written(prints.groupBy("_digest").agg(least.alias("least"), F.first("fps").alias("fps"), F.count("*").alias("copies")).withColumn("n", _number("_digest")), "similar-texts")
     one, two = (texts.select(F.col("n").alias(f"{x}n"), F.col("_digest").alias(x), F.col("fps").alias(f"{x}f")) for x in ("u", "v"))
     apart = sum((F.bit_count(F.col("uf")[i].bitwiseXOR(F.col("vf")[i])) for i in range(TABLES)), F.lit(0))
     near = _candidates(texts.select("n", "fps")).toDF("pu", "pv").join(one, F.col("pu") == F.col("un")).join(two, F.col("pv") == F.col("vn"))
@@ -228,16 +231,15 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     del near
     release(docs.sparkSession)
 
-    wanted = written(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "w"), "similar-wanted")
-    rep = texts.select(F.col("_digest").alias("rd"), F.col("least.id").alias("ri")).join(wanted, F.col("rd") == F.col("w"), "left_semi")
-    rep = written(rep, "similar-reps")
+    # Eight bytes for each text that has a pair: where they are few, the planner sees their size and the texts are not moved.
+    wanted = written(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().select(_number("u").alias("w")).distinct(), "similar-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([shingles(b.column(1)[i].as_py(), words).tobytes()], pa.binary())], names=["d", "set"])
 
-    sets = rows.join(rep, (F.col("_digest") == F.col("rd")) & F.col("_id").eqNullSafe(F.col("ri")), "left_semi").select("_digest", "_text")
+    sets = rows.withColumn("_n", _number("_digest")).join(wanted, F.col("_n") == F.col("w"), "left_semi").select("_digest", "_text")
     sets = written(sets.mapInArrow(cut, "d string, set binary").groupBy("d").agg(F.first("set").alias("set")), "similar-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +260,11 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     rest = written(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "similar-rest")
     links_2 = verified(rest)
     groups = written(components(links_1.unionByName(links_2)), "similar-groups")
-    members = groups.join(texts.select("_digest", "least"), F.col("node") == F.col("_digest"))
+    members = groups.join(texts.select("_digest", "least", "copies"), F.col("node") == F.col("_digest"))
     best = members.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("least", F.col("node").alias("digest"))).alias("best"))
-    out = written(groups.join(best, F.col("root") == F.col("r")).select(F.col("node").alias("digest"), F.struct(F.col("best.least.id").alias("id"), F.col("best.digest").alias("digest")).alias("best")), "similar-out")
-    forget(prints, texts, pairs, wanted, rep, sets, first, links_1, known, rest, links_2, groups)
+    out = members.join(best, F.col("root") == F.col("r")).select(F.col("node").alias("digest"), "copies", F.struct(F.col("best.least.id").alias("id"), F.col("best.digest").alias("digest")).alias("best"))
+    out = written(out, "similar-out")
+    forget(prints, texts, pairs, wanted, sets, first, links_1, known, rest, links_2, groups)
     return out
 
 
@@ -274,10 +277,13 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     Columns of any name are kept; an empty table gives an empty result.
     """
     groups = similar_groups(docs, similarity, words, id_col, text_col)
-    digest, best = fresh(docs, "near_digest"), fresh(docs, "near_best")
-    groups = groups.toDF(digest, best)
-    gone = (F.md5(text_of(docs, text_col)) == groups[digest]) & ~((groups[best]["digest"] == groups[digest]) & docs[id_col].eqNullSafe(groups[best]["id"]))
-    return docs.join(groups, gone, "left_anti")
+    digest, stays = fresh(docs, "near_digest"), fresh(docs, "near_stays")
+    # A text that stays does so in the rows of one id; for all others the digest is all that is needed, as 16 bytes. So that the
+    # list is small where little goes, and the texts needn't be moved, a text that stays is listed only if it has other rows.
+    groups = groups.where("best.digest <> digest or copies > 1").select(F.unhex("digest").alias(digest), F.when(F.col("best.digest") == F.col("digest"), F.struct(F.col("best.id").alias("id"))).alias(stays))
+    groups = written(groups, "similar-gone")
+    own = groups[stays].isNotNull() & docs[id_col].eqNullSafe(groups[stays]["id"])
+    return docs.join(groups, (F.unhex(F.md5(text_of(docs, text_col))) == groups[digest]) & ~own, "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
