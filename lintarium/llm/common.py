@@ -6,13 +6,14 @@ import gc
 import io
 import os
 import re
-import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintarium.sources.tables import shared_root
+
 #: The white space of all contracts, for Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -21,23 +22,6 @@ LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent and the session is local (tests, interactive use) a folder of this machine is made for it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not kept.isDefined():
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintarium-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = kept.get()
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; nothing is there yet."""
     return f"{shared_root(spark)}/lintarium/{label}-{uuid.uuid4().hex}"
