@@ -455,6 +455,17 @@ def _imports(spark, sf):
     return hrefs, pages.select(F.col("url").alias("path"))
 
 
+@query(
+    """WITH f AS (SELECT s_nationkey AS project, s_suppkey, 's/' || s_suppkey || '.py' AS path FROM supplier)
+    SELECT DISTINCT CAST(a.project AS VARCHAR) AS project, a.path AS src, b.path AS dst FROM lineitem JOIN f a ON l_suppkey = a.s_suppkey JOIN f b ON l_partkey = b.s_suppkey AND a.project = b.project WHERE l_suppkey <> l_partkey"""
+)
+def import_edges(spark, sf):
+    """Nations as projects, suppliers as files, and line items as imports that name a file by the number of their part."""
+    files = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("project"), "s_suppkey", F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"))
+    imports = table(spark, sf, "lineitem").join(files, F.col("l_suppkey") == F.col("s_suppkey")).select("project", "path", F.col("l_partkey").cast("string").alias("module"))
+    return graph.edges_by_suffix(imports, files.select("project", "path"), "project")
+
+
 @query(f"WITH {_IMPORTS} SELECT DISTINCT src, dst FROM t WHERE src <> dst")
 def import_edges_by_suffix(spark, sf):
     return graph.edges_by_suffix(*_imports(spark, sf))
