@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,8 +17,8 @@ from lintarium.llm.components import components
 
 #: Radius; words of a shingle.
 RADIUS, SHINGLE = 3, 3
-#: Of near copies: words of a shingle, least Jaccard index, and fingerprints of a text that bring candidates together.
-SIMILAR_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 6
+#: Of near copies: words of a shingle, least Jaccard index, bits of a sketch, and frequent shingles that all workers know.
+SIMILAR_SHINGLE, SIMILARITY, SKETCH, FREQUENT = 5, 0.8, 512, 100_000
 _SEED = 42
 
 
@@ -132,33 +132,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (F.md5(text_of(docs, text_col)) == gone[gone_digest]), "left_anti")
 
 
-def word_fingerprints(text: str, tables: int = TABLES) -> np.ndarray:
-    """One fingerprint for each table over the distinct words of a text, which weigh one plus the logarithm of their count.
-
-    Words change less than shingles when a text is edited: at a Jaccard index of 0.8 over shingles of five words about one
-    word in fifty differs. A bit is one where the weights of the words whose hash has it outweigh those of the others.
-    """
-    counts = Counter(text.encode("utf-8", "replace").lower().split())
-    if not counts:
-        return np.zeros(tables, np.uint64)
-    hashes = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in counts], np.uint64)
-    weights = np.rint(16 * (1 + np.log(np.fromiter(counts.values(), float, len(counts))))).astype(np.int64)
-    total, ones = int(weights.sum()), np.zeros(64 * tables, np.int64)
-    for i in range(0, len(hashes), 8192):
-        mixed = np.stack([_remixed(hashes[i : i + 8192], t) for t in range(tables)], axis=1)
-        bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8 * tables), axis=1, bitorder="little")
-        ones += weights[i : i + 8192] @ bits
-    return np.packbits(2 * ones > total, bitorder="little").view("<u8").astype(np.uint64)
-
-
-def _remixed(h: np.ndarray, table: int) -> np.ndarray:
-    """Another hash of each hash, by a multiply and shift mix of 64 bits."""
-    x = h + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str, words: int = SIMILAR_SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text; fewer words are one shingle, no word is none."""
     parts = text.encode("utf-8", "replace").lower().split()
@@ -175,72 +148,113 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _number(digest: str) -> Column:
-    """60 bits of a digest, which number a text among candidates; should two texts share them, both are compared."""
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+def rare_first(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a sorted set of shingles in an order that all texts share: those that aren't ``frequent``, then the others by count.
+
+    As many are taken as a set must have, so that any set with a Jaccard index of ``similarity`` or more has one of them
+    among its own: of n shingles at least ``similarity`` times n are shared, so not all of the n - ceil(similarity * n) + 1
+    first ones of both can be without a partner, in whatever order.
+    """
+    size = len(found)
+    if size and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        found = found[np.argsort(np.where(frequent[at] == found, counts[at], 0), kind="stable")]
+    return found[: size - math.ceil(similarity * size - 1e-9) + 1]
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Of each of ``SKETCH`` classes of hashes one bit, the parity of its shingles: two sets differ in as many shingles as bits, or more."""
+    return np.packbits((np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(bool), bitorder="little").view("<i8")
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of numbers of texts that some table brings within 2 bits. prints: (n, fps), a row a text.
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted by shingle: the most frequent ones of (_text), at most ``FREQUENT``.
 
-    In each table every distinct fingerprint emits its ball of radius 1. Fingerprints that meet on a variant are paired
-    with the least of them, and texts of one fingerprint with the least and the largest number of it, so no group's
-    pairs are all made and a group of any size is summed up before it moves.
+    They only order shingles, so nothing depends on the list being whole: shingles that occur once among some thousand
+    texts that lie together aren't counted there.
     """
-    masks = F.lit([0, *[x - (1 << 64) if x >> 63 else x for x in (1 << i for i in range(64))]]).cast("array<bigint>")
-    placed = prints.select("n", F.posexplode("fps").alias("t", "fp"))
-    own = written(placed.groupBy("t", "fp").agg(F.min("n").alias("low"), F.max("n").alias("high")), "similar-prints")
-    rows = own.select("t", "fp", F.posexplode(masks).alias("i", "mask")).select("t", F.col("fp").bitwiseXOR(F.col("mask")).alias("v"), F.col("i").cast("tinyint").alias("i"))
-    fp = F.col("v").bitwiseXOR(F.get(masks, F.col("i").cast("int")))
-    hung = rows.withColumn("fp", fp).withColumn("hub", F.min("fp").over(Window.partitionBy("t", "v"))).where("hub <> fp").select("t", "hub", "fp").distinct()
-    hubs = own.select(F.col("t").alias("ht"), F.col("fp").alias("hub"), F.col("low").alias("a"))
-    ends = own.select(F.col("t").alias("ft"), F.col("fp").alias("f"), F.col("low").alias("b"))
-    across = hung.join(hubs.withColumnRenamed("hub", "h"), (F.col("t") == F.col("ht")) & (F.col("hub") == F.col("h"))).join(ends, (F.col("t") == F.col("ft")) & (F.col("fp") == F.col("f"))).select("a", "b")
-    many = own.where("low <> high").select(F.col("t").alias("ft"), F.col("fp").alias("f"), "low", "high")
-    inside = placed.join(many, (F.col("t") == F.col("ft")) & (F.col("fp") == F.col("f"))).select("n", F.explode(F.array("low", "high")).alias("o")).select(F.col("o").alias("a"), F.col("n").alias("b"))
-    pairs = across.unionByName(inside).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    return pairs
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def repeated() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(found[times > 1].view(np.int64)), pa.array(times[times > 1].astype(np.int64))], names=["h", "times"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(shingles(t, words))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield repeated()
+                    held, size = [], 0
+        yield repeated()
+
+    counted = rows.select("_text").mapInArrow(count, "h bigint, times bigint").groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= 8)
+    top = written(counted.orderBy(F.desc("times"), "h").limit(FREQUENT), "similar-frequent")
+    found = top.toArrow()
+    forget(top)
+    h, times = found.column("h").to_numpy().view(np.uint64), found.column("times").to_numpy()
+    order = np.argsort(h)
+    return h[order], times[order]
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, copies, best) of every text that has a near copy: its MD5, its rows, and the (id, digest) that its group goes by.
 
-    Two texts are near copies when the Jaccard index of their sets of ``words``-word shingles is ``similarity`` or more.
-    Candidates come from ``TABLES`` word fingerprints by balls (``_candidates``); a pair goes on if all fingerprints
-    together differ in a tenth of their bits at most, and is then compared in full. Every text is first compared with
-    the least of its partners; what is left between groups is compared after that, so pairs inside a group that is
-    found already cost nothing. Links that are found are exact; the fingerprints may miss some.
+    Two texts are near copies when the Jaccard index of their sets of ``words``-word shingles is ``similarity`` or more;
+    shingles are told apart by 64 bits. All links count, none is left out: texts of one set are one node, every node
+    gives the first of its shingles, rare ones first (``rare_first``), and two nodes that are near copies share one of them.
+    Each node is first compared with one partner, then with two hubs for each of its first shingles. At last all pairs
+    that share one are made, but for those inside a group that is found already, which can't change it, and those that
+    can't reach ``similarity``, which is known by where the shingle stands in both, by the sizes and by ``sketch``. What
+    is left is compared in full. No shingle is left out because many have it.
     """
     ship(docs.sparkSession)
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].alias("_id"), F.md5(text).alias("_digest"), text.alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
+    frequent, counts = _frequent(rows, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [word_fingerprints(t).view(np.int64).tolist() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["_id", "_digest", "fps"])
-
-    prints = written(rows.mapInArrow(run, f"_id {kind}, _digest string, fps array<bigint>"), "similar")
-    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
-    texts = written(prints.groupBy("_digest").agg(least.alias("least"), F.first("fps").alias("fps"), F.count("*").alias("copies")).withColumn("n", _number("_digest")), "similar-texts")
-    one, two = (texts.select(F.col("n").alias(f"{x}n"), F.col("_digest").alias(x), F.col("fps").alias(f"{x}f")) for x in ("u", "v"))
-    apart = sum((F.bit_count(F.col("uf")[i].bitwiseXOR(F.col("vf")[i])) for i in range(TABLES)), F.lit(0))
-    near = _candidates(texts.select("n", "fps")).toDF("pu", "pv").join(one, F.col("pu") == F.col("un")).join(two, F.col("pv") == F.col("vn"))
-    pairs = written(near.where(apart <= TABLES * 64 // 10).select("u", "v"), "similar-pairs")
-    del near
+            nodes, sizes, firsts, bits = [], [], [], []
+            for t in b.column(2).to_pylist():
+                found = shingles(t, words)
+                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                firsts.append(rare_first(found, frequent, counts, similarity) if len(found) else found)
+                bits.append(sketch(found))
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first, sketches], names=["_id", "_digest", "n", "size", "first", "bits"])
+
+    prints = written(rows.mapInArrow(run, f"_id {kind}, _digest string, n bigint, size int, first array<bigint>, bits array<bigint>"), "similar")
+    index = prints.select("n", "size", F.posexplode("first").alias("pos", "h"))
+    # Of each shingle two hubs. Mixed with the shingle, numbers have another order for each, so a group has many hubs.
+    mixed = F.col("n").bitwiseXOR(F.col("h"))
+    buckets = index.groupBy("h").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
+    buckets = written(buckets.select(F.col("h").alias("k"), *[F.col(x).bitwiseXOR(F.col("h")).alias(x) for x in ("low", "high")]), "similar-buckets")
+    shared = written(index.join(buckets, F.col("h") == F.col("k")).select("h", "n", "size", "pos", "low", "high").distinct(), "similar-shared")
+    del index
     release(docs.sparkSession)
+    some = shared.select(F.col("n").alias("w")).distinct()
+    facts = written(prints.join(some, F.col("n") == F.col("w"), "left_semi").select("n", "size", "bits").distinct(), "similar-facts")
 
-    # Eight bytes for each text that has a pair: where they are few, the planner sees their size and the texts are not moved.
-    wanted = written(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().select(_number("u").alias("w")).distinct(), "similar-wanted")
+    def apart(one: Column, two: Column) -> Column:
+        """In how many shingles two sets of these sizes may differ."""
+        return one + two - 2 * F.ceil((one + two) * F.lit(similarity / (1 + similarity)) - 1e-9)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        one, two = facts.toDF("un", "us", "ub"), facts.toDF("vn", "vs", "vb")
+        both = pairs.join(one, F.col("u") == F.col("un")).join(two, F.col("v") == F.col("vn"))
+        differ = sum((F.bit_count(F.col("ub")[i].bitwiseXOR(F.col("vb")[i])) for i in range(SKETCH // 64)), F.lit(0))
+        return written(both.where(F.greatest(differ, F.abs(F.col("us") - F.col("vs"))) <= apart(F.col("us"), F.col("vs"))).select("u", "v"), "similar-pairs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([shingles(b.column(1)[i].as_py(), words).tobytes()], pa.binary())], names=["d", "set"])
-
-    sets = rows.withColumn("_n", _number("_digest")).join(wanted, F.col("_n") == F.col("w"), "left_semi").select("_digest", "_text")
-    sets = written(sets.mapInArrow(cut, "d string, set binary").groupBy("d").agg(F.first("set").alias("set")), "similar-sets")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["n", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,23 +262,57 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
             alike = np.array([jaccard(x, y) >= similarity for x, y in zip(a, c)], bool)
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(alike)) for k in (0, 1)], names=["u", "v"])
 
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets.toDF("ud", "us"), F.col("u") == F.col("ud")).join(sets.toDF("vd", "vs"), F.col("v") == F.col("vd"))
-        return written(both.select("u", "v", "us", "vs").mapInArrow(compare, "u string, v string"), "similar-links")
-
-    first = written(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "similar-first")
+    def verified(pairs: DataFrame) -> DataFrame:
+        # One text for each node that has a pair: where they are few, the planner sees their size and the texts are not moved.
+        ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
+        wanted = written(prints.join(ends, F.col("n") == F.col("u")).groupBy("n").agg(F.min("_digest").alias("d")), "similar-wanted")
+        sets = rows.join(wanted, F.col("_digest") == F.col("d")).select("n", "_text").mapInArrow(cut, "n bigint, set binary")
+        sets = written(sets.groupBy("n").agg(F.first("set").alias("set")), "similar-sets")
+        both = pairs.join(sets.toDF("un", "us"), F.col("u") == F.col("un")).join(sets.toDF("vn", "vs"), F.col("v") == F.col("vn"))
+        links = written(both.select("u", "v", "us", "vs").mapInArrow(compare, "u bigint, v bigint"), "similar-links")
+        forget(wanted, sets)
+        release(docs.sparkSession)
+        return links
+
+    hubs = shared.select("n", F.explode(F.array("low", "high")).alias("hub")).where("n <> hub").select(F.least("n", "hub").alias("u"), F.greatest("n", "hub").alias("v")).distinct()
+    hubs = written(hubs, "similar-hubs")
+    first = likely(hubs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     links_1 = verified(first)
     known = written(components(links_1), "similar-groups")
-    ku, kv = known.toDF("ku", "ru"), known.toDF("kv", "rv")
-    rest = pairs.join(first, ["u", "v"], "left_anti").join(ku, F.col("u") == F.col("ku"), "left").join(kv, F.col("v") == F.col("kv"), "left")
-    rest = written(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "similar-rest")
-    links_2 = verified(rest)
-    groups = written(components(links_1.unionByName(links_2)), "similar-groups")
-    members = groups.join(texts.select("_digest", "least", "copies"), F.col("node") == F.col("_digest"))
-    best = members.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("least", F.col("node").alias("digest"))).alias("best"))
-    out = members.join(best, F.col("root") == F.col("r")).select(F.col("node").alias("digest"), "copies", F.struct(F.col("best.least.id").alias("id"), F.col("best.digest").alias("digest")).alias("best"))
+    one, two = known.toDF("un", "ur"), known.toDF("vn", "vr")
+    second = hubs.join(one, F.col("u") == F.col("un"), "left").join(two, F.col("v") == F.col("vn"), "left")
+    second = likely(second.where(F.coalesce("ur", "u") != F.coalesce("vr", "v")).select("u", "v"))
+    links_2 = verified(second)
+    forget(known)
+    known = written(components(links_1.unionByName(links_2)), "similar-groups")
+    placed = shared.join(known, F.col("n") == F.col("node"), "left").select("h", "n", "size", "pos", F.coalesce("root", "n").alias("root"))
+    placed = written(placed, "similar-placed")
+    # Groups that meet on a shingle are paired first, so pairs inside a group of any size are never made.
+    meet = placed.select("h", "root").distinct()
+    meet = meet.toDF("h", "ur").join(meet.toDF("vh", "vr"), (F.col("h") == F.col("vh")) & (F.col("ur") < F.col("vr"))).select("h", "ur", "vr")
+    meet = written(meet, "similar-meet")
+    one, two = placed.toDF("uh", "u", "us", "up", "r"), placed.toDF("vh", "v", "vs", "vp", "q")
+    across = meet.join(one, (F.col("h") == F.col("uh")) & (F.col("ur") == F.col("r"))).select("h", "vr", "u", "us", "up")
+    across = across.join(two, (F.col("h") == F.col("vh")) & (F.col("vr") == F.col("q")))
+    # On the first shingle that two sets share, all others that they share come after it in both.
+    after = F.least(F.col("us") - F.col("up"), F.col("vs") - F.col("vp"))
+    rest = across.where(F.col("us") + F.col("vs") - 2 * after <= apart(F.col("us"), F.col("vs"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rest = likely(rest)
+    links_3 = verified(rest)
+    # Links between groups that were found and the groups themselves, as stars.
+    stars = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    groups = written(components(stars.unionByName(links_3)), "similar-groups")
+
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
+    texts = prints.groupBy("_digest").agg(least.alias("least"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    texts = texts.join(groups, F.col("n") == F.col("node"), "left").select(F.col("_digest").alias("digest"), "least", "copies", F.coalesce("root", "n").alias("root"))
+    texts = written(texts, "similar-texts")
+    many = texts.groupBy(F.col("root").alias("r")).count().where("count > 1").select("r")
+    members = written(texts.join(many, F.col("root") == F.col("r"), "left_semi"), "similar-members")
+    best = members.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("least", "digest")).alias("best"))
+    out = members.join(best, F.col("root") == F.col("r")).select("digest", "copies", F.struct(F.col("best.least.id").alias("id"), F.col("best.digest").alias("digest")).alias("best"))
     out = written(out, "similar-out")
-    forget(prints, texts, pairs, wanted, sets, first, links_1, known, rest, links_2, groups)
+    forget(prints, buckets, shared, facts, hubs, first, links_1, second, links_2, known, placed, meet, rest, links_3, groups, texts, members)
     return out
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lintarium.llm import brown, exact_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
 
@@ -278,3 +279,46 @@ def test_near_copies_on_edge_cases(spark):
     assert left == Counter([(1, None), (4, "a b"), (6, "a c"), (7, long), (9, "one two three four five six"), (3, "zwei")])
     assert simhash.drop_similar(docs.limit(0)).count() == 0
     assert simhash.drop_similar(docs.where("doc_id = 9")).count() == 1
+
+
+def test_no_near_copy_is_missed(spark):
+    """Groups as by brute force, where few words or a whole passage differ, at 0.8 and just below, in chains and in a large group."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = fresh(90), []
+    for n in (45, 46, 47, 60, 100, 104, 200, 300):
+        for _ in range(4):
+            base = fresh(n)
+            texts += [base, base + fresh((n - 4) // 4), base + fresh((n - 4) // 4 + 1), [*base[: n // 2], *fresh(1), *base[n // 2 + 1 :]]]
+    for _ in range(4):
+        chain = fresh(150)
+        for _ in range(5):
+            texts.append(chain)
+            chain = [*chain[12:], *fresh(12)]
+    # A passage that many texts begin with, alike only where little else follows, and a large group of texts with two or three edits.
+    texts += [passage + fresh(rng.randint(5, 30)) for _ in range(120)]
+    base = fresh(130)
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(2, 3)):
+            copy[rng.randrange(len(copy))] = fresh(1)[0]
+        texts.append(copy)
+    rng.shuffle(texts)
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    groups = simhash.similar_groups(docs)
+    got = docs.join(groups, F.md5("text") == groups["digest"], "left").select("doc_id", F.coalesce("best.id", "doc_id")).collect()
+    assert {i: r for i, r in got} == {i: root(i) for i in range(len(texts))}
+    assert sum(root(i) != i for i in range(len(texts))) > 200
