@@ -17,8 +17,10 @@ from lintarium.llm.components import components
 
 #: Radius; words of a shingle.
 RADIUS, SHINGLE = 3, 3
-#: Of near copies: words of a shingle, least Jaccard index, bits of a sketch, and frequent shingles that all workers know.
-SIMILAR_SHINGLE, SIMILARITY, SKETCH, FREQUENT = 5, 0.8, 512, 100_000
+#: Of near copies: words of a shingle, least Jaccard index, least and most bits of a sketch, and frequent shingles that all workers know.
+SIMILAR_SHINGLE, SIMILARITY, SKETCH, SKETCH_MOST, FREQUENT = 5, 0.8, 512, 1 << 16, 100_000
+#: Bits of the filter that says which texts a comparison wants.
+WANTED = 1 << 24
 _SEED = 42
 
 
@@ -163,8 +165,21 @@ def rare_first(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, simi
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Of each of ``SKETCH`` classes of hashes one bit, the parity of its shingles: two sets differ in as many shingles as bits, or more."""
-    return np.packbits((np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(bool), bitorder="little").view("<i8")
+    """Of each class of hashes one bit, the parity of its shingles: two sets differ in as many shingles as bits, or more.
+
+    Classes are hashes modulo a power of two, at least ``SKETCH`` and as many as shingles up to ``SKETCH_MOST``, since with
+    far fewer any two long sets differ in about half of the bits. The longer of two sketches is folded by ``differing``.
+    """
+    classes = min(SKETCH_MOST, max(SKETCH, 1 << max(len(found) - 1, 0).bit_length()))
+    return np.packbits((np.bincount((found % np.uint64(classes)).astype(np.int64), minlength=classes) & 1).astype(bool), bitorder="little").view("<i8")
+
+
+def differing(one: str, two: str) -> Column:
+    """Bits in which two sketches differ, of which one is at most twice as long; the halves of the longer are added first."""
+    words = F.least(F.size(one), F.size(two))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = [F.when(F.size(x) > words, F.zip_with(F.slice(x, 1, words), F.slice(x, words + 1, words), xor)).otherwise(F.col(x)) for x in (one, two)]
+    return F.aggregate(F.zip_with(*folded, xor), F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,10 +220,13 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     Two texts are near copies when the Jaccard index of their sets of ``words``-word shingles is ``similarity`` or more;
     shingles are told apart by 64 bits. All links count, none is left out: texts of one set are one node, every node
     gives the first of its shingles, rare ones first (``rare_first``), and two nodes that are near copies share one of them.
-    Each node is first compared with one partner, then with two hubs for each of its first shingles. At last all pairs
-    that share one are made, but for those inside a group that is found already, which can't change it, and those that
-    can't reach ``similarity``, which is known by where the shingle stands in both, by the sizes and by ``sketch``. What
-    is left is compared in full. No shingle is left out because many have it.
+    The first shingle that two sets share, where u + v - apart shared ones begin, stands so early in both that each size is
+    within the other's ``reach`` there, and in the smaller set so early that its reach is not below its own size. Such a
+    set leads: only those are hubs, and pairs of two that don't lead are never looked at, so texts that share a passage but
+    for which it comes late cost nothing together. Each node is first compared with one partner, then with two hubs for each
+    of its first shingles. At last all pairs that share one are made, but for those inside a group that is found already,
+    which can't change it, and those that can't reach ``similarity``, which the join itself tells by reach, and then sizes
+    and ``sketch``. What is left is compared in full. No shingle is left out because many have it.
     """
     ship(docs.sparkSession)
     text = text_of(docs, text_col)
@@ -217,30 +235,36 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     frequent, counts = _frequent(rows, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, none = set(), np.zeros(0, np.int64)
         for b in batches:
             nodes, sizes, firsts, bits = [], [], [], []
             for t in b.column(2).to_pylist():
                 found = shingles(t, words)
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sizes.append(len(found))
-                firsts.append(rare_first(found, frequent, counts, similarity) if len(found) else found)
-                bits.append(sketch(found))
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))
-            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first, sketches], names=["_id", "_digest", "n", "size", "first", "bits"])
+                # Texts of one set are one node, so a task gives shingles and sketch of a set once.
+                new = nodes[-1] not in seen
+                firsts.append(rare_first(found, frequent, counts, similarity) if new and len(found) else none.view(np.uint64))
+                bits.append(sketch(found) if new else none)
+                if len(seen) < 1 << 20:
+                    seen.add(nodes[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([none, *(y.view(np.int64) for y in x)]))) for x in (firsts, bits)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *lists], names=["_id", "_digest", "n", "size", "first", "bits"])
 
     prints = written(rows.mapInArrow(run, f"_id {kind}, _digest string, n bigint, size int, first array<bigint>, bits array<bigint>"), "similar")
-    index = prints.select("n", "size", F.posexplode("first").alias("pos", "h"))
-    # Of each shingle two hubs. Mixed with the shingle, numbers have another order for each, so a group has many hubs.
-    mixed = F.col("n").bitwiseXOR(F.col("h"))
-    buckets = index.groupBy("h").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
-    buckets = written(buckets.select(F.col("h").alias("k"), *[F.col(x).bitwiseXOR(F.col("h")).alias(x) for x in ("low", "high")]), "similar-buckets")
-    shared = written(index.join(buckets, F.col("h") == F.col("k")).select("h", "n", "size", "pos", "low", "high").distinct(), "similar-shared")
+    ratio = (1 + similarity) / similarity
+    reach = F.floor((F.col("size") - F.col("pos")) * F.lit(ratio) - F.col("size") + 1e-6).cast("int")
+    index = prints.select("n", "size", F.posexplode("first").alias("pos", "h")).select("h", "n", "size", reach.alias("reach"))
+    # Of each shingle two hubs. Mixed with the shingle, numbers have another order for each, so a group has many hubs. The
+    # index moves once: what its window needs of a shingle are numbers, and shingles of one set or without a leading one end here.
+    bucket, mixed = Window.partitionBy("h"), F.when(F.col("reach") >= F.col("size"), F.col("n").bitwiseXOR(F.col("h")))
+    shared = index.select("*", *[f(x).over(bucket).alias(y) for f, x, y in ((F.min, mixed, "low"), (F.max, mixed, "high"), (F.min, F.col("n"), "one"), (F.max, F.col("n"), "two"))])
+    shared = shared.where("low is not null and one <> two").select("h", "n", "size", "reach", *[F.col(x).bitwiseXOR(F.col("h")).alias(x) for x in ("low", "high")])
+    shared = written(shared.distinct(), "similar-shared")
     del index
     release(docs.sparkSession)
     some = shared.select(F.col("n").alias("w")).distinct()
-    facts = written(prints.join(some, F.col("n") == F.col("w"), "left_semi").select("n", "size", "bits").distinct(), "similar-facts")
+    facts = written(prints.where(F.size("bits") > 0).join(some, F.col("n") == F.col("w"), "left_semi").select("n", "size", "bits").distinct(), "similar-facts")
 
     def apart(one: Column, two: Column) -> Column:
         """In how many shingles two sets of these sizes may differ."""
@@ -249,12 +273,34 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     def likely(pairs: DataFrame) -> DataFrame:
         one, two = facts.toDF("un", "us", "ub"), facts.toDF("vn", "vs", "vb")
         both = pairs.join(one, F.col("u") == F.col("un")).join(two, F.col("v") == F.col("vn"))
-        differ = sum((F.bit_count(F.col("ub")[i].bitwiseXOR(F.col("vb")[i])) for i in range(SKETCH // 64)), F.lit(0))
-        return written(both.where(F.greatest(differ, F.abs(F.col("us") - F.col("vs"))) <= apart(F.col("us"), F.col("vs"))).select("u", "v"), "similar-pairs")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["n", "set"])
+        most = apart(F.col("us"), F.col("vs"))
+        # Sizes first: sketches of sets that they let through are of one length, or one is twice as long.
+        pairs = both.where(F.when(F.abs(F.col("us") - F.col("vs")) <= most, differing("ub", "vb") <= most).otherwise(F.lit(False)))
+        return written(pairs.select("u", "v"), "similar-pairs")
+
+    slot = F.pmod(F.xxhash64("_digest"), F.lit(WANTED))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(n, set) of the texts with these digests, of few others too. Texts stay where they are read; a filter of ``WANTED`` bits goes to them."""
+        found = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+        marks = np.zeros(WANTED >> 6, np.int64)
+        marks[found.column("w").to_numpy()] = found.column("b").to_numpy()
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
+            for b in batches:
+                s = b.column(0).to_numpy()
+                some = b.filter(pa.array((marks[s >> 6] >> (s & 63)) & 1 == 1))
+                sets = []
+                for d, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
+                    if d not in seen:
+                        sets.append(shingles(t, words))
+                        seen.add(d)
+                n = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array([x.tobytes() for x in sets], pa.binary())], names=["n", "set"])
+
+        sets = rows.select(slot, "_digest", "_text").mapInArrow(cut, "n bigint, set binary")
+        return written(sets.groupBy("n").agg(F.first("set").alias("set")), "similar-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,11 +309,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(alike)) for k in (0, 1)], names=["u", "v"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # One text for each node that has a pair: where they are few, the planner sees their size and the texts are not moved.
+        # One text for each node that has a pair.
         ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-        wanted = written(prints.join(ends, F.col("n") == F.col("u")).groupBy("n").agg(F.min("_digest").alias("d")), "similar-wanted")
-        sets = rows.join(wanted, F.col("_digest") == F.col("d")).select("n", "_text").mapInArrow(cut, "n bigint, set binary")
-        sets = written(sets.groupBy("n").agg(F.first("set").alias("set")), "similar-sets")
+        wanted = written(prints.join(ends, F.col("n") == F.col("u")).groupBy("n").agg(F.min("_digest").alias("_digest")), "similar-wanted")
+        sets = sets_of(wanted)
         both = pairs.join(sets.toDF("un", "us"), F.col("u") == F.col("un")).join(sets.toDF("vn", "vs"), F.col("v") == F.col("vn"))
         links = written(both.select("u", "v", "us", "vs").mapInArrow(compare, "u bigint, v bigint"), "similar-links")
         forget(wanted, sets)
@@ -285,18 +330,23 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     links_2 = verified(second)
     forget(known)
     known = written(components(links_1.unionByName(links_2)), "similar-groups")
-    placed = shared.join(known, F.col("n") == F.col("node"), "left").select("h", "n", "size", "pos", F.coalesce("root", "n").alias("root"))
+    placed = shared.join(known, F.col("n") == F.col("node"), "left").select("h", "n", "size", "reach", F.coalesce("root", "n").alias("root"))
     placed = written(placed, "similar-placed")
-    # Groups that meet on a shingle are paired first, so pairs inside a group of any size are never made.
-    meet = placed.select("h", "root").distinct()
-    meet = meet.toDF("h", "ur").join(meet.toDF("vh", "vr"), (F.col("h") == F.col("vh")) & (F.col("ur") < F.col("vr"))).select("h", "ur", "vr")
-    meet = written(meet, "similar-meet")
-    one, two = placed.toDF("uh", "u", "us", "up", "r"), placed.toDF("vh", "v", "vs", "vp", "q")
-    across = meet.join(one, (F.col("h") == F.col("uh")) & (F.col("ur") == F.col("r"))).select("h", "vr", "u", "us", "up")
-    across = across.join(two, (F.col("h") == F.col("vh")) & (F.col("vr") == F.col("q")))
+    # Groups that meet on a shingle are paired first, so pairs inside a group of any size are never made. One of the two has a
+    # member that leads; where both have, the lower one stands on the left.
+    crowds = placed.groupBy("h", "root").agg(F.min("size").alias("least"), F.max("reach").alias("most"), F.max(F.col("reach") >= F.col("size")).alias("leads"))
+    crowds = written(crowds, "similar-crowds")
+    left, right = crowds.where("leads").toDF("h", "ur", "ul", "um", "lead"), crowds.toDF("vh", "vr", "vl", "vm", "leads")
+    within = (F.col("ul") <= F.col("vm")) & (F.col("vl") <= F.col("um"))
+    once = F.when(F.col("leads"), F.col("ur") < F.col("vr")).otherwise(F.col("ur") != F.col("vr"))
+    meet = written(left.join(right, (F.col("h") == F.col("vh")) & once & within).select("h", "ur", "vr", "vl", "vm"), "similar-meet")
+    one, two = placed.toDF("uh", "u", "us", "um", "r"), placed.toDF("vh", "v", "vs", "vm", "q")
+    within = (F.col("us") <= F.col("vm")) & (F.col("vl") <= F.col("um"))
+    across = meet.join(one, (F.col("h") == F.col("uh")) & (F.col("ur") == F.col("r")) & within).select("h", "vr", "u", "us", "um")
     # On the first shingle that two sets share, all others that they share come after it in both.
-    after = F.least(F.col("us") - F.col("up"), F.col("vs") - F.col("vp"))
-    rest = across.where(F.col("us") + F.col("vs") - 2 * after <= apart(F.col("us"), F.col("vs"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    within = (F.col("us") <= F.col("vm")) & (F.col("vs") <= F.col("um"))
+    across = across.join(two, (F.col("h") == F.col("vh")) & (F.col("vr") == F.col("q")) & within)
+    rest = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rest = likely(rest)
     links_3 = verified(rest)
     # Links between groups that were found and the groups themselves, as stars.
@@ -312,7 +362,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     best = members.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("least", "digest")).alias("best"))
     out = members.join(best, F.col("root") == F.col("r")).select("digest", "copies", F.struct(F.col("best.least.id").alias("id"), F.col("best.digest").alias("digest")).alias("best"))
     out = written(out, "similar-out")
-    forget(prints, buckets, shared, facts, hubs, first, links_1, second, links_2, known, placed, meet, rest, links_3, groups, texts, members)
+    forget(prints, shared, facts, hubs, first, links_1, second, links_2, known, placed, crowds, meet, rest, links_3, groups, texts, members)
     return out
 
 

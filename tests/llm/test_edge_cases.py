@@ -322,3 +322,41 @@ def test_no_near_copy_is_missed(spark):
     got = docs.join(groups, F.md5("text") == groups["digest"], "left").select("doc_id", F.coalesce("best.id", "doc_id")).collect()
     assert {i: r for i, r in got} == {i: root(i) for i in range(len(texts))}
     assert sum(root(i) != i for i in range(len(texts))) > 200
+
+
+def test_near_copies_make_few_pairs_and_move_no_texts(spark, monkeypatch):
+    """Texts of one passage and 15 % of their own share shingles but are no copies: none are paired. What is compared in full is read without a join."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    passage, base = fresh(174), fresh(1200)
+    texts = [passage + fresh(30) for _ in range(120)] + [base, [*base[:600], *fresh(1), *base[601:]]] + [fresh(1200) for _ in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows, plans, write = {}, [], simhash.written
+
+    def counted(df, label):
+        if label == "similar-sets":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = write(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    found = simhash.similar_groups(docs).collect()
+    assert {r["best"]["id"] for r in found} == {120} and len(found) == 2
+    assert rows["similar-meet"] == [0]
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    assert rows["similar-sets"][0] == 2
+
+
+def test_sketches_of_long_texts_tell_them_apart(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    sets = [(draw(2000), draw(2000))]
+    for n in (1, 500, 512, 520, 1020, 3000):
+        one = draw(n)
+        sets.append((one, np.union1d(one, draw(max(1, n // 9)))))
+    pairs = spark.createDataFrame([tuple(simhash.sketch(x).tolist() for x in p) for p in sets], "a array<bigint>, b array<bigint>")
+    got = [r[0] for r in pairs.coalesce(1).select(simhash.differing("a", "b")).collect()]
+    assert got[0] > 0.222 * 4000 / 2
+    for (a, b), bits in zip(sets, got):
+        assert 0 < bits <= len(np.setxor1d(a, b))
