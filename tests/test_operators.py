@@ -173,6 +173,42 @@ def test_api_diff_by_date_compares_every_name(spark, tmp_path):
     assert set(got) == want and len(got) == len(want) and {"removed", "changed"} == {x for _, x in want} and max(want)[0] > 50
 
 
+def _records_shuffled(spark, run) -> int:
+    """The records that all stages of ``run`` write for other stages."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        empty = sc._jvm.java.util.ArrayList()
+        found = sc._jsc.sc().statusStore().stageList(empty, False, False, sc._gateway.new_array(sc._jvm.double, 0), empty)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", ["single_author", "stale"])
+def test_commits_are_summed_up_before_they_meet_their_projects(spark, tmp_path, name):
+    rng = random.Random(5)
+    priority = lambda c: rng.choice((None, "1-URGENT", "2-HIGH", "3-MEDIUM")[: 1 + c % 4])
+    rows = [(i, c := rng.randrange(60), rng.choice("OF"), f"{1996 + c % 3}-{rng.randrange(1, 13):02}-01", priority(c)) for i in range(20_000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, d string, o_orderpriority string")
+    orders.selectExpr("*", "cast(d as timestamp_ntz) as o_orderdate").drop("d").coalesce(2).write.parquet(f"{tmp_path}/orders.parquet")
+    got = []
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for projects that are too many to be sent
+    try:
+        moved = _records_shuffled(spark, lambda: got.extend(catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES[name]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[1] for r in want}) == 2
+    assert moved < len(rows) / 4
+
+
 def test_strong_components_of_all_line_items(spark, tmp_path):
     rng = random.Random(11)
     edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(110)] + [(200, 201), (201, 200), (300, 301), (301, 302), (302, 300)]
